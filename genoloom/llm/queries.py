@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .chat import OP1_SQL, op1_chat
 from .jaccard_join import op4_jaccard_join
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op4_jaccard_join": op4_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_chat": OP1_SQL,
+}
