@@ -5,10 +5,12 @@ from __future__ import annotations
 from .chat import OP1_SQL, op1_chat
 from .html_text import OP5_SQL, op5_html_text
 from .jaccard_join import op4_jaccard_join
+from .language import op3_language_id
 from .url_filter import op7_url_filter
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_html_text": op5_html_text,
     "op7_url_filter": op7_url_filter,
