@@ -6,6 +6,7 @@ from .chat import OP1_SQL, op1_chat
 from .html_text import OP5_SQL, op5_html_text
 from .jaccard_join import op4_jaccard_join
 from .language import op3_language_id
+from .pivot_dedup import op8_pivot_dedup
 from .quality import op6_quality
 from .url_filter import op7_url_filter
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
+    "op8_pivot_dedup": op8_pivot_dedup,
 }
 
 ORACLE: dict[str, str] = {
