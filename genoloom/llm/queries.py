@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat
+from .gru_lm import op9_gru_lm
 from .html_text import OP5_SQL, op5_html_text
 from .jaccard_join import op4_jaccard_join
 from .language import op3_language_id
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_pivot_dedup": op8_pivot_dedup,
+    "op9_gru_lm": op9_gru_lm,
 }
 
 ORACLE: dict[str, str] = {
