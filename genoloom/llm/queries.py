@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat
+from .decontaminate import op10_decontaminate
 from .gru_lm import op9_gru_lm
 from .html_text import OP5_SQL, op5_html_text
 from .jaccard_join import op4_jaccard_join
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_pivot_dedup": op8_pivot_dedup,
     "op9_gru_lm": op9_gru_lm,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
