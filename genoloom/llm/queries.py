@@ -8,12 +8,14 @@ from .gru_lm import op9_gru_lm
 from .html_text import OP5_SQL, op5_html_text
 from .jaccard_join import op4_jaccard_join
 from .language import op3_language_id
+from .pieces import op2_pieces
 from .pivot_dedup import op8_pivot_dedup
 from .quality import op6_quality
 from .url_filter import op7_url_filter
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_pieces": op2_pieces,
     "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_html_text": op5_html_text,
