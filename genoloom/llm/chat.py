@@ -50,12 +50,14 @@ def paths(messages: DataFrame, top_k: int, scratch: Scratch) -> DataFrame:
     # at: the message that the pointer has reached; off: how many steps up; done: it is a segment's first
     ptr = step.select("tree_id", "node_id", F.when(start, F.col("node_id")).otherwise(F.col("parent_id")).alias("at"), F.when(start, 0).otherwise(1).cast("long").alias("off"), start.alias("done"), F.when(F.col("replies").isNotNull(), F.col("parent_id")).alias("parent_id"), "score")
     ptr, left, k = scratch.table(ptr, "ptr-0"), -1, 0
-    while (now := ptr.where("not done").count()) not in (0, left):
+    settled, going = ptr.where("done"), ptr.where("not done")
+    while (now := going.count()) not in (0, left):  # only those still on their way join again
         left, k = now, k + 1
-        up = ptr.select("tree_id", F.col("node_id").alias("at"), F.col("at").alias("at2"), F.col("off").alias("off2"), F.col("done").alias("done2"))
-        ptr = ptr.join(up, ["tree_id", "at"]).select("tree_id", "node_id", F.when(F.col("done"), F.col("at")).otherwise(F.col("at2")).alias("at"), F.when(F.col("done"), F.col("off")).otherwise(F.col("off") + F.col("off2")).alias("off"), (F.col("done") | (F.col("at") == F.col("at2")) | F.col("done2")).alias("done"), "parent_id", "score")
+        up = settled.union(going).select("tree_id", F.col("node_id").alias("at"), F.col("at").alias("at2"), F.col("off").alias("off2"), F.col("done").alias("done2"))
+        ptr = going.join(up, ["tree_id", "at"]).select("tree_id", "node_id", F.col("at2").alias("at"), (F.col("off") + F.col("off2")).alias("off"), ((F.col("at") == F.col("at2")) | F.col("done2")).alias("done"), "parent_id", "score")
         ptr = scratch.table(ptr, f"ptr-{k}")
-    ptr = ptr.where("done")
+        settled, going = settled.union(ptr.where("done")), ptr.where("not done")
+    ptr = settled
     score = ptr.groupBy("tree_id", F.col("at").alias("seg")).agg(F.sum("score").alias("score"))
     heads = ptr.where("node_id = at").select("tree_id", F.col("node_id").alias("seg"), "parent_id")
     above = ptr.select("tree_id", F.col("node_id").alias("parent_id"), F.col("at").alias("up"))
