@@ -192,6 +192,18 @@ def _verify_block(num: int, den: int):
     return run
 
 
+def _only(sets: DataFrame, ids: DataFrame, slots: int = 1 << 18) -> DataFrame:
+    """The rows of ``sets`` (doc_id, h) whose doc_id is in ``ids`` (a), once each.
+
+    A table of at most ``slots`` hash values, whatever the size of ``ids``, is broadcast first, so that most sets
+    that nobody asked for are not shuffled; the join on doc_id decides.
+    """
+    ids = ids.select(F.col("a").alias("doc_id")).distinct()
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    near = sets.withColumn("slot", slot).join(F.broadcast(ids.select(slot.alias("slot")).distinct()), "slot", "left_semi").drop("slot")
+    return near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def jaccard_join(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int] = (90, 100), hot_df: int = 32, hot_limit: int = 2_000_000, block: int = 256, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -204,7 +216,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     scratch = scratch or Scratch(spark)
     num, den = threshold
     sets = scratch.table(shingle_sets(docs, width), "sets")
-    ids = sets.select("doc_id", "n", "sig")
+    ids = scratch.table(sets.select("doc_id", "n", "sig"), "ids")
     classes = ids.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
     hot, shift = hot_shingles(sets, scratch, hot_df, hot_limit)
     shared = spark.sparkContext.broadcast(hot)
@@ -227,20 +239,19 @@ def jaccard_join(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     # Groups of several classes: their members meet in blocks below.  Pairs of groups expand here.
     found = pairs.join(members.select(F.col("gid").alias("g"), F.col("rep").alias("a")), "g").join(members.select(F.col("gid").alias("g2"), F.col("rep").alias("b")), "g2").select("a", "b")
     found = scratch.table(found, "candidates")
-    h = sets.select("doc_id", "h")
-    want = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    h_want = scratch.table(h.join(want, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "wanted")
-    first = h_want.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"))
-    second = h_want.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
-    links = found.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(_verify_pairs(num, den), "a long, b long")
     # Classes that share hot prefix shingles, or a group: gathered, then verified block by block.
     crowd = rows.where("size(hot) > 0").groupBy("sig", "n", "hot").agg(F.min("doc_id").alias("a")).select("a", F.explode("hot").alias("t"))
     star = crowd.groupBy("t").agg(F.min("a").alias("b")).join(crowd, "t").select("a", "b")
     same = members.where("some").join(sizes.where("k > 1"), "gid").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     gathered = components(star.union(same), scratch, "crowd").withColumnRenamed("node", "a").withColumnRenamed("component", "c")
+    h_want = scratch.table(_only(sets.select("doc_id", "h"), found.select("a").union(found.select("b")).union(gathered.select("a"))), "wanted")
+    scratch.drop("sets"), scratch.drop("prefixes")
+    first = h_want.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"))
+    second = h_want.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
+    links = found.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(_verify_pairs(num, den), "a long, b long")
     many = gathered.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     placed = gathered.join(many, "c").withColumn("i", F.pmod(F.xxhash64("a"), F.col("nb")).cast("int"))
-    met = placed.join(h.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "a"), "a").select("c", "a", "h", "nb", "i", F.explode(F.expr("sequence(0, nb - 1)")).alias("j"))
+    met = placed.join(h_want.withColumnRenamed("doc_id", "a"), "a").select("c", "a", "h", "nb", "i", F.explode(F.expr("sequence(0, nb - 1)")).alias("j"))
     blocks = met.select("c", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "h")
     links = links.union(blocks.groupBy("c", "i", "j").applyInPandas(_verify_block(num, den), "a long, b long"))
     label = components(scratch.table(links, "links"), scratch, "cc")

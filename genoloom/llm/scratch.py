@@ -17,11 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many texts: a worker's memory then follows the texts' length, not the table's."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Scratch:
     """A folder for the tables of one run; it goes when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/genoloom-{uuid.uuid4().hex}"
         self._path(self.root)[1].deleteOnExit(self._path(self.root)[0])
 
