@@ -27,9 +27,14 @@ from .text import buffers, chunks, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, OWN_MARK = "▁", "\udc00"  # of spaces; stands for the text's own in a lattice
+_SLOTS = 17
 _LONG = 48  # characters of a unit that is worked on by itself
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
 class Pieces:
     """The pieces of a model file with their scores; nothing is trained."""
 
@@ -68,7 +73,14 @@ class Pieces:
         self.tables = {}
         for n, rows in by.items():
             rows.sort()
-            self.tables[n] = tuple(np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.float64, np.int64), strict=True))
+            keys, score, which = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.float64, np.int64), strict=True))
+            # a slot leads to the first of the pieces that share it, ``deep`` are the most that do
+            slot = _slot(keys)
+            keys, score, which = (x[np.argsort(slot, kind="stable")] for x in (keys, score, which))
+            slot = np.sort(slot)
+            first = np.searchsorted(slot, np.arange(1 << _SLOTS)).astype(np.int32)
+            pad = lambda x, v: np.append(x, np.full(8, v, x.dtype))
+            self.tables[n] = first, pad(keys, 0), pad(score, -np.inf), pad(which, -1), int(np.bincount(slot).max())
         self.raw_at = np.cumsum([0] + [len(b) for b in self.raw])
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
@@ -124,14 +136,14 @@ class Pieces:
             at = e
         return out
 
-    def alone(self, s: str) -> tuple[float, float, list[int]]:
+    def alone(self, s: str) -> tuple[float, float, np.ndarray]:
         """Best score, what the second-best path loses, ids of the best path."""
         two = self.nbest(s, 2)
-        return two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf, self.to_ids(s, two[0][1])
+        return two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf, np.array(self.to_ids(s, two[0][1]), np.int64)
 
     # --- many units at once
 
-    def many(self, units: list[str]) -> list[tuple[float, float, list[int]]]:
+    def many(self, units: list[str]) -> list[tuple[float, float, np.ndarray]]:
         """``alone`` of each unit, those of alike length together."""
         out: list = [None] * len(units)
         size = np.array([len(u) for u in units])
@@ -153,7 +165,7 @@ class Pieces:
         n, size = len(units), np.array([len(u) for u in units])
         width = int(size.max()) if n else 0
         if not width:
-            return [(0.0, np.inf, []) for _ in units]
+            return [(0.0, np.inf, np.zeros(0, np.int64)) for _ in units]
         points = np.zeros((n, width), np.uint64)
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         at_row = np.repeat(np.arange(n), size)
@@ -167,13 +179,13 @@ class Pieces:
             for l in range(1, min(self.most, width - i) + 1):
                 h = h * base + points[:, i + l - 1]
                 inside = size >= i + l
+                e, w = np.full(n, -np.inf), np.full(n, -1)
                 if l in self.tables:
-                    t, score, which = self.tables[l]
-                    k = np.minimum(np.searchsorted(t, h), len(t) - 1)
-                    hit = (t[k] == h) & inside
-                    e, w = np.where(hit, score[k], -np.inf), np.where(hit, which[k], -1)
-                else:
-                    e, w = np.full(n, -np.inf), np.full(n, -1)
+                    first, keys, score, which, deep = self.tables[l]
+                    k = first[_slot(h)]
+                    for step in range(deep):
+                        hit = np.flatnonzero((keys[k + step] == h) & inside)
+                        e[hit], w[hit] = score[k[hit] + step], which[k[hit] + step]
                 if l == 1:
                     e = np.where((w < 0) & inside, self.unknown, e)
                 if l == 1 or (w >= 0).any():
@@ -208,15 +220,16 @@ class Pieces:
         for (i, l), e in edges.items():
             second = np.maximum(second, np.where(on[:, i] == l, -np.inf, f[:, i] + e + b[:, i + l]))
         gap = np.where(second > -np.inf, best - second, np.inf)
-        cols = [[] for _ in range(n)]
-        for i in range(width):
-            for r in np.flatnonzero(on[:, i]):
-                l = on[r, i]
-                k = ids[i, l][r]
-                if k >= 0:
-                    cols[r].append(int(k))
-                else:
-                    cols[r] += [self.byte[x] for x in units[r][i].replace(OWN_MARK, MARK).encode()]
+        chosen = np.full((n, width), -2)
+        for (i, l), w in ids.items():
+            rows_l = np.flatnonzero(on[:, i] == l)
+            chosen[rows_l, i] = w[rows_l]
+        used = chosen > -2
+        flat, many = chosen[used], used.sum(1)
+        stop = np.cumsum(many)
+        cols = [flat[a:b] for a, b in zip(stop - many, stop, strict=True)]
+        for r in np.flatnonzero((chosen == -1).any(1)):  # characters without a piece
+            cols[r] = np.array(self.to_ids(units[r], np.flatnonzero(on[r]) + on[r][on[r] > 0]), np.int64)
         return list(zip(best.tolist(), gap.tolist(), cols, strict=True))
 
     # --- decoding
@@ -258,11 +271,24 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[int, int] = {}
-        self.scores, self.gaps, self.sizes, self.units = [], [], [], []
-        self.ids: list[list[int]] = []
+        self.h, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of units, and their numbers
+        self.score, self.gap = np.zeros(0), np.zeros(0)
+        self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.units: list[str] = []
         self.lists: dict[int, list[float]] = {}
 
+    def _learn(self, h: np.ndarray, units: list[str]) -> None:
+        """Adds units with sorted hashes ``h``, none of which is known."""
+        got = self.pieces.many(units)
+        place = np.searchsorted(self.h, h)
+        self.at = np.insert(self.at, place, len(self.units) + np.arange(len(units)))
+        self.h = np.insert(self.h, place, h)
+        self.units += units
+        self.score = np.append(self.score, [g[0] for g in got])
+        self.gap = np.append(self.gap, [g[1] for g in got])
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(g[2]) for g in got]))
+        self.flat = np.append(self.flat, np.concatenate([g[2] for g in got]).astype(np.int32))
+
     def _others(self, u: int) -> list[float]:
         """What the next n - 1 paths of a unit lose."""
         if u not in self.lists:
@@ -290,24 +316,19 @@ class Encoder:
             return
         h = word_hashes(raw, starts, ends)
         distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.most:
+        if len(self.units) > self.most:
             self._empty()
-        fresh = [k for k, x in enumerate(distinct.tolist()) if x not in self.known]
-        units = [lattice(raw[starts[where[k]] : ends[where[k]]].tobytes().decode("utf-8", "replace")) for k in fresh]
-        for k, u, (score, gap, ids) in zip(fresh, units, self.pieces.many(units), strict=True):
-            self.known[int(distinct[k])] = len(self.units)
-            self.units.append(u)
-            self.scores.append(score)
-            self.gaps.append(gap)
-            self.ids.append(ids)
-        local = [self.known[x] for x in distinct.tolist()]
-        score, gap = np.array([self.scores[k] for k in local])[inverse], np.array([self.gaps[k] for k in local])[inverse]
-        many = np.array([len(self.ids[k]) for k in local])
-        flat = np.array([x for k in local for x in self.ids[k]], np.int64)
-        begin = (np.cumsum(many) - many)[inverse]
-        many = many[inverse]
+        k = np.minimum(np.searchsorted(self.h, distinct), max(0, len(self.h) - 1))
+        fresh = np.flatnonzero(self.h[k] != distinct) if len(self.h) else np.arange(len(distinct))
+        if len(fresh):
+            begin, end, text = starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), raw.tobytes()
+            self._learn(distinct[fresh], [lattice(text[x:y].decode("utf-8", "replace")) for x, y in zip(begin, end, strict=True)])
+        local = self.at[np.searchsorted(self.h, distinct)][inverse]
+        score, gap, flat = self.score[local], self.gap[local], self.flat
+        begin = self.begin[local]
+        many = self.begin[local + 1] - begin
         stop = np.cumsum(many)
-        ids = flat[np.repeat(begin - (stop - many), many) + np.arange(int(stop[-1]))]
+        ids = flat[np.repeat(begin - (stop - many), many) + np.arange(int(stop[-1]))].astype(np.int64)
         said = self.pieces.decode_bytes(ids)
         same_all = len(said) == len(raw) and bool((said == raw).all())
         bounds = np.searchsorted(starts, new_edge)
@@ -325,7 +346,7 @@ class Encoder:
                 pick = np.argpartition(g, min(self.n - 2, len(g) - 1))[: self.n - 1] if len(g) > self.n - 1 else np.arange(len(g))
                 for k in pick:
                     if g[k] < np.inf:
-                        losses = sorted(x + y for x in losses for y in [0.0, *self._others(local[inverse[a + k]])])[: self.n]
+                        losses = sorted(x + y for x in losses for y in [0.0, *self._others(int(local[a + k]))])[: self.n]
             ok = same_all or self.pieces.decode_bytes(own).tobytes() == raw[new_edge[d] : new_edge[d + 1]].tobytes()
             yield own, [best - x for x in losses], ok
 
