@@ -73,11 +73,14 @@ def cauchy_statistic(p: Column, small: float = 1e-15) -> Column:
     return F.avg(F.when((p > 0) & (p < 1), each))
 
 
-def acat(p: Column) -> Column:
-    """Cauchy combination of a group's p-values.  0 if one is 0, 1 if one is 1; both, null or out of range: an error."""
-    wrong = F.max((p.isNull() | F.isnan(p) | (p < 0) | (p > 1)).cast("int")) == 1
-    zero, one = F.max((p == 0).cast("int")) == 1, F.max((p == 1).cast("int")) == 1
-    t = cauchy_statistic(p)
+def acat(p: Column, use: Column | None = None) -> Column:
+    """Cauchy combination of a group's p-values, of those with ``use`` if given.  0 if one is 0, 1 if one is 1; both,
+    null or out of range: an error.  Without any p-value the statistic is 0 and the result 0.5."""
+    use = F.lit(True) if use is None else use
+    some = lambda x: F.coalesce(F.max((use & x).cast("int")) == 1, F.lit(False))
+    wrong = some(p.isNull() | F.isnan(p) | (p < 0) | (p > 1))
+    zero, one = some(p == 0), some(p == 1)
+    t = F.coalesce(cauchy_statistic(F.when(use, p)), F.lit(0.0))
     return (
         F.when(wrong, F.raise_error(F.lit("p-values must be within 0 and 1")).cast("double"))
         .when(zero & one, F.raise_error(F.lit("p-values of 0 and of 1 cannot be combined")).cast("double"))

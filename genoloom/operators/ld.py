@@ -52,20 +52,21 @@ def band(snps: DataFrame, window: float, chunk: int = 100, exact: bool = False)
     as its first one's window holds, rounded up to whole chunks.  ``exact`` (with a filter by the caller) keeps only
     the chunks that the window of one of its variants reaches.
     """
-    w = W.partitionBy("chr").orderBy("coord").rangeBetween(W.unboundedPreceding, -window)
-    # variants strictly before the window's left edge: those with coord < coord - window
-    left = F.count("*").over(w) - F.count("*").over(W.partitionBy("chr").orderBy("coord").rangeBetween(-window, -window))
+    # variants strictly before the window's left edge: those up to it less those on it
+    over = "count(*) over (partition by chr order by coord range between {} preceding and {}D preceding)"
+    reach = repr(float(window))
+    left = F.expr(over.format("unbounded", reach)) - F.expr(over.format(reach + "D", reach))
     rows = snps.withColumn("left", left).select("chr", "idx", "left")
     size = rows.groupBy("chr").agg(F.count("*").alias("m"), F.min(F.when(F.col("left") > 0, F.col("idx"))).alias("first"))
     b0 = F.ceil(F.col("first") / chunk).cast("long")
     start = rows.where(F.col("idx") % chunk == 0).join(size, "chr").withColumn("a", (F.col("idx") / chunk).cast("long")).withColumn("b0", b0)
-    reach = F.ceil((F.col("idx") - F.col("left")) / chunk).cast("long")
+    behind = F.ceil((F.col("idx") - F.col("left")) / chunk).cast("long")
     if exact:
         low = rows.groupBy("chr", F.floor(F.col("idx") / chunk).alias("a")).agg(F.floor(F.min("left") / chunk).alias("low"))
         start = start.join(low, ["chr", "a"])
         lowest = F.col("low")
     else:
-        lowest = F.when(F.col("b0").isNull() | (F.col("b0") * chunk > F.col("m")) | (F.col("a") < F.col("b0")), 0).otherwise(F.greatest(F.col("a") - reach, F.lit(0)))
+        lowest = F.when(F.col("b0").isNull() | (F.col("b0") * chunk > F.col("m")) | (F.col("a") < F.col("b0")), 0).otherwise(F.greatest(F.col("a") - behind, F.lit(0)))
     return start.select("chr", "a", F.explode(F.sequence(lowest.cast("long"), F.col("a"))).alias("b"))
 
 

@@ -40,9 +40,9 @@ q as (select annotation, count(*) as n, quantile_cont(-log10(p), 0.5) as m,
   quantile_cont(-log10(p), 0.75) - quantile_cont(-log10(p), 0.25) as iqr from e group by annotation),
 t as (select e.annotation, p, n, -log10(p) >= m + 3 * iqr as far from e join q using (annotation)),
 o as (select annotation, count(*) filter (far) as k from t group by annotation),
-kept as (select annotation, p from t join o using (annotation) where not (far and k > 0 and k < greatest(0.01 * n, 20))),
-a as (select annotation, avg(case when p < 1e-15 then 1 / p / pi() else tan((0.5 - p) * pi()) end) as t, median(p) as md
-  from kept group by annotation)
+kept as (select annotation, p, not (far and k > 0 and k < greatest(0.01 * n, 20)) as keep from t join o using (annotation)),
+a as (select annotation, coalesce(avg(case when p < 1e-15 then 1 / p / pi() else tan((0.5 - p) * pi()) end) filter (keep), 0) as t,
+  median(p) as md from kept group by annotation)
 select annotation, round(-log10(case when t > 1e15 then 1 / t / pi() else atan2(1, t) / pi() end), 6) as logp_cauchy,
   round(md, 9) as p_median from a
 """
