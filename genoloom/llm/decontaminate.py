@@ -52,7 +52,8 @@ def tokens(data: np.ndarray, at: np.ndarray, i: int, j: int):
     """Of texts i to j: each token's text, kind, and hash; runs of names count as one.
 
     A token is a run of letters and digits, with points and commas between digits.  A number starts with a digit; a
-    unit stands right behind a number; a name begins with a capital and not a sentence.
+    unit stands right behind a number; a name begins with a capital, has few
+    others, and does not begin a sentence.
     """
     raw = data[at[i] : at[j]]
     edge = at[i : j + 1] - at[i]
@@ -92,7 +93,9 @@ def tokens(data: np.ndarray, at: np.ndarray, i: int, j: int):
     first = np.ones(len(starts), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
     kind = np.zeros(len(starts), np.int8)
-    kind[capital[starts] & ~first] = NAME
+    capitals = np.concatenate([[0], np.cumsum(capital)])
+    shouted = 2 * (capitals[ends] - capitals[starts]) >= ends - starts  # a text in capitals has no names to see
+    kind[capital[starts] & ~first & ~shouted] = NAME
     kind[digit[starts]] = NUMBER
     after = np.flatnonzero((kind[:-1] == NUMBER) & ~first[1:] & (kind[1:] != NUMBER)) + 1
     if len(after):
