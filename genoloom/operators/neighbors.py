@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.stats import dot, norm
+from ..tables import cut
 
 
 def knn_spatial(spots: DataFrame, k: int, keys: tuple = ("sample", "annotation"), cell: float | None = None) -> DataFrame:
@@ -24,28 +25,30 @@ def knn_spatial(spots: DataFrame, k: int, keys: tuple = ("sample", "annotation")
     box = pts.groupBy(*keys).agg(F.count("*").alias("n"), F.min("sx").alias("x0"), F.min("sy").alias("y0"), F.greatest(F.max("sx") - F.min("sx"), F.max("sy") - F.min("sy")).alias("span"))
     width = F.lit(cell) if cell else F.greatest(F.col("span") * F.sqrt(F.lit(float(k)) / F.col("n")), F.col("span") / 1e6)
     box = box.withColumn("w", F.when(F.col("span") > 0, width).otherwise(1.0)).withColumn("need", F.least(F.lit(k), F.col("n")))
-    pts = pts.join(box, keys)
+    pts = cut(pts.join(box, keys))
+    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+
+    def place(rows, width):
+        return rows.withColumn("cx", F.floor((F.col("sx") - F.col("x0")) / width)).withColumn("cy", F.floor((F.col("sy") - F.col("y0")) / width))
+
     asking, out = pts, None
-    for _ in range(24):
-        def at(rows, factor):
-            return rows.withColumn("cx", F.floor((F.col("sx") - F.col("x0")) / (F.col("w") * factor))).withColumn("cy", F.floor((F.col("sy") - F.col("y0")) / (F.col("w") * factor)))
-
-        factor = 2.0**_
-        cells = at(pts, factor).select(*keys, F.col("pos").alias("dst"), F.col("sx").alias("tx"), F.col("sy").alias("ty"), "cx", "cy")
-        step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        asked = at(asking, factor).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy"))
+    for k_round in range(24):
+        wide = F.col("w") * 2.0**k_round
+        cells = place(pts, wide).select(*keys, F.col("pos").alias("dst"), F.col("sx").alias("tx"), F.col("sy").alias("ty"), "cx", "cy")
+        asked = place(asking, wide).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy"))
         d = F.sqrt((F.col("sx") - F.col("tx")) ** 2 + (F.col("sy") - F.col("ty")) ** 2)
-        met = asked.join(cells, [*keys, "cx", "cy"]).withColumn("distance", d)
         w = W.partitionBy(*keys, "pos").orderBy("distance", "dst")
-        near = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("need"))
+        near = asked.join(cells, [*keys, "cx", "cy"]).withColumn("distance", d).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("need"))
         # certain: the k-th lies within the width of one cell, or the cells cover the whole group
-        state = near.groupBy(*keys, "pos").agg(F.max("distance").alias("far"), F.count("*").alias("got"))
-        sure = asking.join(state, [*keys, "pos"]).where(((F.col("got") == F.col("need")) & (F.col("far") <= F.col("w") * factor)) | (F.col("w") * factor > F.col("span"))).select(*keys, "pos")
-        done = near.join(sure, [*keys, "pos"], "left_semi").select(*keys, F.col("pos").alias("src"), "dst", "distance", "rank")
+        whole = W.partitionBy(*keys, "pos")
+        far, got = F.max("distance").over(whole), F.count("*").over(whole)
+        near = cut(near.withColumn("sure", ((got == F.col("need")) & (far <= wide)) | (wide > F.col("span"))).select(*keys, F.col("pos").alias("src"), "dst", "distance", "rank", "sure"))
+        done = near.where("sure").drop("sure")
         out = done if out is None else out.unionByName(done)
-        asking = asking.join(sure, [*keys, "pos"], "left_anti")
-        if cell or asking.isEmpty():
+        left = near.where("not sure and rank = 1").select(*keys, F.col("src").alias("pos"))
+        if cell or left.isEmpty():
             break
+        asking = cut(asking.join(left, [*keys, "pos"], "left_semi"))
     return out
 
 
@@ -87,10 +90,12 @@ def normalized_graph(edges: DataFrame, gaussian: float | None = None) -> DataFra
     ``gaussian``: weights exp(-d^2 / (2 s^2)) instead of 1."""
     weight = F.lit(1.0) if gaussian is None else F.exp(-(F.col("distance") ** 2) / (2 * gaussian**2))
     a = edges.where("distance > 0").select("src", "dst", weight.alias("w"))
-    nodes = edges.select("src").union(edges.select("dst")).distinct()
-    a = a.union(nodes.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("w")))
-    degree = a.groupBy("src").agg(F.sum("w").alias("d"))
-    return a.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("d2"))).alias("w"))
+    # every node has a row here, with its own loop counted
+    ends = edges.select("src", F.when(F.col("distance") > 0, weight).otherwise(0.0).alias("w")).union(edges.select("dst", F.lit(0.0)))
+    degree = cut(ends.groupBy("src").agg((F.sum("w") + 1).alias("d")))
+    of = degree.select(F.col("src").alias("dst"), F.col("d").alias("d2"))
+    pairs = a.join(degree, "src").join(of, "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("d2"))).alias("w"))
+    return pairs.union(degree.select("src", "src", 1 / F.col("d")))
 
 
 def mean_nearest_distance(spots: DataFrame, keys: tuple = ("sample",)) -> DataFrame:
