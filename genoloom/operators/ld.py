@@ -31,6 +31,19 @@ def common(stats: DataFrame, least: float = 0.05) -> DataFrame:
     return stats.where(F.col("maf") > least)
 
 
+def subset(geno: DataFrame, snps: DataFrame | None = None, individuals: list[int] | None = None, least_maf: float | None = None) -> DataFrame:
+    """Some variants (chr, idx), some individuals (places within the calls), and those above a frequency, of all that
+    are asked for; frequencies are of what is left."""
+    if snps is not None:
+        geno = geno.join(snps.select("chr", "idx"), ["chr", "idx"], "left_semi")
+    if individuals is not None:
+        if not individuals:
+            raise ValueError("no individuals are left")
+        geno = geno.withColumn("g", F.transform(F.array(*[F.lit(i) for i in individuals]), lambda i: F.get("g", i)))
+    out = allele_stats(geno)
+    return out if least_maf is None else out.where(F.col("maf") > least_maf)
+
+
 def coordinates(snps: DataFrame, unit: str = "CM", window: float = 1.0) -> tuple[DataFrame, float]:
     """``snps`` with ``coord`` and the window in its unit: index, base pairs (KB times 1000) or centimorgans; where a
     chromosome's are all 0, base pairs with 1,000,000."""

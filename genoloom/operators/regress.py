@@ -111,6 +111,8 @@ def spatial_ldsc(rows: DataFrame, ld: DataFrame, blocks: int = 200) -> DataFrame
 def jackknife(xtx: np.ndarray, xty: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """Mean and standard error of pseudovalues from block sums; None where an equation is singular."""
     b = len(xtx)
+    if xtx.ndim != 3 or xty.ndim != 2 or xtx.shape[:2] != xty.shape or xtx.shape[1] != xtx.shape[2]:
+        raise ValueError("block sums are (blocks, p, p) and (blocks, p)")
     if b < 2:
         return None
     total, right = xtx.sum(0), xty.sum(0)

@@ -30,14 +30,14 @@ ALIASES = {
 STRAND_SAFE = ("AC", "AG", "CA", "CT", "GA", "GT", "TC", "TG")
 _NAME = {alias: name for name, aliases in ALIASES.items() for alias in aliases.split()}
 NUMBERS = ("P", "Z", "BETA", "SE", "OR", "SE_OR", "N", "FRQ", "INFO")
-OUTPUT = {"gsMap": ("SNP", "A1", "A2", "Z", "N"), "COJO": ("SNP", "A1", "A2", "FRQ", "BETA", "SE", "P", "N")}
+OUTPUT = {"sumstats": ("SNP", "A1", "A2", "Z", "N"), "COJO": ("SNP", "A1", "A2", "FRQ", "BETA", "SE", "P", "N")}
 
 
 @dataclass(frozen=True)
 class SumstatsOptions:
     """format: an output layout; names: our name to the file's, where the aliases do not help; n: a constant N."""
 
-    format: str = "gsMap"
+    format: str = "sumstats"
     info_min: float = 0.9
     maf_min: float = 0.01
     n: int | None = None
@@ -71,7 +71,7 @@ def with_z(gwas: DataFrame, layout: str) -> DataFrame:
         if missing := [c for c in ("A1", "A2", "FRQ", "BETA", "SE", "P", "N") if c not in have]:
             raise ValueError(f"COJO needs {', '.join(missing)}")
         return gwas.withColumn("Z", norm_isf(F.col("P") / 2) * sign)
-    if layout != "gsMap":
+    if layout != "sumstats":
         raise ValueError(f"unknown format {layout}")
     if not ("P" in have or "Z" in have or {"BETA", "SE"} <= have):
         raise ValueError("P, Z, or BETA and SE are needed")

@@ -212,7 +212,7 @@ class FormatSumstatsConfig:
     sumstats: str
     out: str
     dbsnp: str | None = None
-    format: str = "gsMap"
+    format: str = "sumstats"
     info_min: float = 0.9
     maf_min: float = 0.01
     n: str | None = None

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from ..operators import combine, diagnose, expression, gss, intervals, ld, neighbors, ranks, regress, sumstats
 from ..sources import plink, sinks, text
 from . import config as C
-from .report import render
+from .report import manhattan, render, scatter
 
 
 def format_sumstats(spark: SparkSession, c: C.FormatSumstatsConfig) -> DataFrame:
@@ -21,7 +21,7 @@ def format_sumstats(spark: SparkSession, c: C.FormatSumstatsConfig) -> DataFrame
     names = dict(c.names) | ({"N": c.n} if c.n is not None and n is None else {})
     options = sumstats.SumstatsOptions(c.format, c.info_min, c.maf_min, n, c.keep_chr_pos, names)
     out = sumstats.format_sumstats(text.read_gwas(spark, c.sumstats), options, text.read_dbsnp(spark, c.dbsnp) if c.dbsnp else None)
-    sinks.write_sumstats(out, f"{c.out}.{'sumstats' if c.format == 'gsMap' else 'cojo'}")
+    sinks.write_sumstats(out, f"{c.out}.{'sumstats' if c.format == 'sumstats' else 'cojo'}")
     return out
 
 
@@ -194,7 +194,10 @@ def report(spark: SparkSession, c: C.ReportConfig) -> str:
         cauchy(spark, C.CauchyConfig(c.workdir, c.trait_name, c.annotation, c.sample_name))
     regions = spark.read.csv(layout.cauchy(c.sample_name, c.trait_name), header=True, inferSchema=True)
     top = genes.limit(c.top_corr_genes).toPandas()
-    return render(f"{c.sample_name}: {c.trait_name}", {"Regions": regions.limit(1000).toPandas(), "Genes": top}, {"sample": c.sample_name, "trait": c.trait_name, "annotation": c.annotation})
+    # what is drawn is bounded: 100,000 variants at most come from pick_snps' rule, so many spots are shown
+    places = spark.read.parquet(layout.spots(c.sample_name)).select(F.col("spot").cast("string").alias("spot"), "sx", "sy").join(results.withColumn("logp", -F.log10("p")), "spot").orderBy(F.xxhash64("spot")).limit(100_000).toPandas()
+    drawn = spark.read.parquet(f"{where}/manhattan").select("snp", "chr", "x", "p", "hover").orderBy("p", "snp").limit(100_000).toPandas()
+    return render(f"{c.sample_name}: {c.trait_name}", {"Regions": regions.limit(1000).toPandas(), "Genes": top}, {"sample": c.sample_name, "trait": c.trait_name, "annotation": c.annotation}, {"Spots": scatter(places, "logp"), "Variants": manhattan(drawn)})
 
 
 def quick_mode(spark: SparkSession, c: C.QuickModeConfig) -> dict[str, str]:

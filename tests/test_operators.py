@@ -85,7 +85,7 @@ def test_sumstats_rules(spark):
     with pytest.raises(ValueError, match="twice"):
         sumstats.standard_names(["P", "PVAL"])
     with pytest.raises(ValueError, match="sign"):
-        sumstats.with_z(frame(spark, [(0.1,)], "P double"), "gsMap")
+        sumstats.with_z(frame(spark, [(0.1,)], "P double"), "sumstats")
     with pytest.raises(ValueError, match="COJO"):
         sumstats.with_z(frame(spark, [(0.1,)], "P double"), "COJO")
     with pytest.raises(ValueError, match="N is needed"):
@@ -199,6 +199,14 @@ def test_invalid_variants_go(spark):
     assert [(r["idx"], r["freq"], r["maf"]) for r in got] == [(0, 0.5, 0.5), (1, 1.0, 0.0)]
 
 
+def test_subset(spark):
+    rows = frame(spark, [(1, 0, [0, 1, 2, 9]), (1, 1, [2, 2, 2, 0]), (1, 2, [1, 1, 0, 0])], "chr int, idx long, g array<tinyint>")
+    got = ld.subset(rows, frame(spark, [(1, 0), (1, 1)], "chr int, idx long"), [0, 3], 0.1).collect()
+    assert [(r["idx"], r["g"], r["freq"]) for r in got] == [(1, [2, 0], 0.5)]
+    with pytest.raises(ValueError):
+        regress.jackknife(np.zeros((3, 2, 2)), np.zeros((3, 1)))
+
+
 def test_zero_centimorgans_are_base_pairs(spark):
     rows = frame(spark, [(1, 0, 0, 0.0), (1, 1, 900_000, 0.0), (1, 2, 2_000_000, 0.0), (2, 0, 0, 0.1)], "chr int, idx long, bp long, cm double")
     placed, w = ld.coordinates(rows)

@@ -130,7 +130,7 @@ def test_whole_analysis(spark, tmp_path):
     found = steps.cauchy(spark, C.CauchyConfig(work, "T", "region", "S"))
     assert {r["annotation"] for r in found.collect()} == {"a", "b"}
     page = steps.report(spark, C.ReportConfig(work, "S", "T", "region", str(tmp_path / "t.sumstats"), 5))
-    assert "<h2>Genes</h2>" in page and "<h2>Regions</h2>" in page
+    assert "<h2>Genes</h2>" in page and "<h2>Regions</h2>" in page and page.count("<svg") == 2
     # quick mode: precomputed tables, and everything that is there already is kept
     res = tmp_path / "res"
     name = spark.read.parquet(layout.snp_gene("S")).select("chr", "idx", "snp")
