@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.stats import norm_sf
+from ..tables import cut
 
 M = 10_000.0  # fixed value: number of variants in the heritability scale
 
@@ -23,7 +24,8 @@ def with_blocks(rows: DataFrame, order: list[str], blocks: int) -> DataFrame:
 
     Rows are dealt by ranges of the order and sorted there; a range's first number is the count of those before.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    # kept, as ranges come from a sample: a second one could deal otherwise
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     local = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     parts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = parts.withColumn("_b", F.sum("_n").over(W.orderBy("_p")) - F.col("_n"))  # a row a partition
@@ -54,14 +56,27 @@ def spatial_ldsc(rows: DataFrame, ld: DataFrame, blocks: int = 200) -> DataFrame
     """
     keys = [c for c in rows.columns if c not in ("snp", "idx", "block", "chisq", "n", "nbar", "base", "w_ld")]
     joined = rows.join(ld, "snp")
-    first = joined.select(*keys, "chunk", "chisq", "n", "base", F.posexplode("l2").alias("k", "x"))
-    total = F.col("x") + F.aggregate("base", F.lit(0.0), lambda s, v: s + v)
-    h = first.groupBy(*keys, "chunk", "k").agg(F.avg("chisq").alias("mc"), F.avg(total * F.col("n")).alias("mx"))
+    types = dict(joined.dtypes)
+    some = rows.select(F.size("base").alias("k")).first()
+    width = some["k"] + 2 if some else 2
+
+    def sums_of_all(batches):
+        for pdf in batches:
+            out = []
+            for key, g in pdf.groupby([*keys, "chunk"], sort=False):
+                x, base, n = np.stack(g["l2"].to_list()).astype(float), np.stack(g["base"].to_list()).astype(float), g["n"].to_numpy(float)
+                total = ((x + base.sum(1)[:, None]) * n[:, None]).sum(0)
+                out.append((*(key if isinstance(key, tuple) else (key,)), total.tolist(), float(g["chisq"].sum()), len(g)))
+            yield pd.DataFrame(out, columns=[*keys, "chunk", "v", "c", "m"])
+
+    head = ", ".join(f"{c} {types[c]}" for c in [*keys, "chunk"])
+    part = joined.select(*keys, "chunk", "l2", "base", "n", "chisq").mapInPandas(sums_of_all, f"{head}, v array<double>, c double, m long")
+    each = part.select(*keys, "chunk", "c", "m", F.posexplode("v").alias("k", "x"))  # a row a batch and spot, not a variant
+    h = each.groupBy(*keys, "chunk", "k").agg((F.sum("c") / F.sum("m")).alias("mc"), (F.sum("x") / F.sum("m")).alias("mx"))
     h = h.withColumn("h", F.least(F.greatest(M * (F.col("mc") - 1) / F.col("mx"), F.lit(0.0)), F.lit(1.0)))
     h = h.groupBy(*keys, "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda v: v["h"]).alias("h"))
     joined = joined.join(h, [*keys, "chunk"]).select(*keys, "chunk", "block", "chisq", "n", "nbar", "base", "w_ld", "spots", "l2", "h")
-    types = dict(joined.dtypes)
-    head = ", ".join(f"{c} {types[c]}" for c in [*keys, "chunk"])
+    types |= dict(joined.dtypes)
 
     def sums(batches):
         for pdf in batches:
@@ -88,13 +103,13 @@ def spatial_ldsc(rows: DataFrame, ld: DataFrame, blocks: int = 200) -> DataFrame
             yield pd.DataFrame(out, columns=[*keys, "chunk", "block", "spot", "v", "nbar"])
 
     parts = joined.mapInPandas(sums, f"{head}, block long, spot string, v array<double>, nbar double")
-    width = parts.select(F.posexplode("v").alias("i", "x"), *keys, "spot", "block", "nbar").groupBy(*keys, "spot", "block", "nbar", "i").agg(F.sum("x").alias("x"))
-    added = width.groupBy(*keys, "spot", "block", "nbar").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("v"))
+    places = range(width * width + width)
+    added = parts.groupBy(*keys, "spot", "block", "nbar").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in places]).select(*keys, "spot", "block", "nbar", F.array(*[f"v{i}" for i in places]).alias("v"))
     head = ", ".join(f"{c} {types[c]}" for c in keys)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.array([np.asarray(x, float) for x in pdf.sort_values("block")["v"]])
-        p = int(round((-1 + np.sqrt(1 + 4 * v.shape[1])) / 2))
+        p = width
         got = jackknife(v[:, : p * p].reshape(-1, p, p), v[:, p * p :])
         cols = [*keys, "spot", "beta", "se"]
         if got is None:
