@@ -6,7 +6,8 @@ of more than ``hot_df`` documents last, else by hash.  Steps:
 
 1. one pass over the texts gives each document its sorted shingle hashes (48 bits); equal sets are one class;
 2. shingles are counted over all documents in ranges of their hashes; those above ``hot_df`` are the hot ones.
-   Their table is broadcast; the bound doubles until at most ``hot_limit`` are left, so its size is bounded;
+   Their table is broadcast; the bound doubles until at most ``hot_limit`` are left, so its size is bounded.  A map of
+   2 ** LIVE bits, whatever the data, says where a shingle of two documents may be: others pair nothing up;
 3. classes with the same cold prefix and size collapse into one group; an index from shingle to groups gives
    group pairs of fitting sizes, and those are filtered by how much of the prefix they share, which bounds the
    overlap from above exactly.  A list of the index holds at most ``hot_df`` documents;
@@ -28,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, give_back, lean
 from .text import buffers, chunks, mix, shingle_hashes, word_hashes, words
 
+LIVE = 27
 _SETS = "doc_id long, n long, sig long, top long, h binary"
 
 
@@ -63,7 +65,7 @@ def _sets(width: int):
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, sig, h): number of distinct shingles, a hash of their set, and the sorted hashes."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets(width), _SETS).drop("top")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_sets(width)), _SETS).drop("top")
 
 
 def _ranges(bits: int):
@@ -82,15 +84,20 @@ def _ranges(bits: int):
 
 
 def _frequent(bits: int, least: int):
+    """Of each range the hashes of more than ``least`` documents, and (df -1) its slice of the map of live ones."""
+
     def run(batches):
         held: dict[int, list[bytes]] = {}
 
         def counted(part):
             x = np.sort(np.frombuffer(b"".join(held.pop(part)), np.uint32))
             edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
-            many = np.diff(edge)
+            many, x = np.diff(edge), x[edge[:-1]]
+            live = np.zeros(1 << (LIVE - bits), bool)
+            live[x[many > 1] >> np.uint32(32 - LIVE + bits)] = True
             keep = many > least
-            return pa.RecordBatch.from_arrays([pa.array((np.int64(part) << 32) | x[edge[:-1][keep]].astype(np.int64)), pa.array(many[keep], pa.int64())], names=["h", "df"])
+            h = (np.int64(part) << 32) | x[keep].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(h, part)), pa.array(np.append(many[keep], -1), pa.int64()), pa.array([None] * len(h) + [np.packbits(live).tobytes()], pa.binary())], names=["h", "df", "live"])
 
         for batch in batches:
             for part, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -104,25 +111,30 @@ def _frequent(bits: int, least: int):
     return run
 
 
-def hot_shingles(sets: DataFrame, scratch: Scratch, hot_df: int, hot_limit: int) -> tuple[np.ndarray, int]:
-    """Sorted prefixes (bits + 32 bits) of the hashes in more than ``hot_df`` documents, and how many bits to shift."""
+def hot_shingles(sets: DataFrame, scratch: Scratch, hot_df: int, hot_limit: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Sorted prefixes (bits + 32 bits) of the hashes in more than ``hot_df`` documents, how many bits to shift, and
+    the map of live hashes by their first LIVE bits."""
     bits = min(14, max(6, int(sets.rdd.getNumPartitions()).bit_length() + 2))
-    parts = sets.select("h").where("n > 0").mapInArrow(_ranges(bits), "part int, b binary")
-    found = parts.repartition(1 << max(3, bits - 3), "part").sortWithinPartitions("part").mapInArrow(_frequent(bits, hot_df), "h long, df long")
+    parts = sets.select("h").where("n > 0").mapInArrow(lean(_ranges(bits)), "part int, b binary")
+    found = parts.repartition(1 << max(3, bits - 3), "part").sortWithinPartitions("part").mapInArrow(lean(_frequent(bits, hot_df)), "h long, df long, live binary")
     found = scratch.table(found, "hot")
     least = hot_df
     while found.where(F.col("df") > least).count() > hot_limit:
         least *= 2
-    return np.sort(found.where(F.col("df") > least).select("h").toPandas()["h"].to_numpy(np.int64)), 16 - bits
+    live = np.zeros((1 << bits, 1 << (LIVE - bits - 3)), np.uint8)
+    for row in found.where("df = -1").select("h", "live").toPandas().itertuples():
+        live[row.h] = np.frombuffer(row.live, np.uint8)
+    return np.sort(found.where(F.col("df") > least).select("h").toPandas()["h"].to_numpy(np.int64)), 16 - bits, live.ravel()
 
 
-def _prefixes(hot, shift: int, num: int, den: int):
-    """The cold prefix in hash order, whether it is full, and the hot shingles that a prefix not full goes on with."""
+def _prefixes(shared, shift: int, num: int, den: int):
+    """Of the cold prefix in hash order the live shingles, its size p and last hash, and the hot shingles that a prefix
+    which the cold ones do not fill goes on with."""
 
     def run(batches):
-        table = hot.value
+        table, live = shared.value
         for batch in batches:
-            cold_all, full, hot_all, last = [], [], [], []
+            cold_all, size, hot_all, last = [], [], [], []
             for n, blob in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 h = _unpack(blob)
                 p = n - -(-num * n // den) + 1
@@ -130,12 +142,13 @@ def _prefixes(hot, shift: int, num: int, den: int):
                 if len(table) and len(h):
                     key = (h >> np.uint64(shift)).astype(np.int64)
                     is_hot = table[np.minimum(np.searchsorted(table, key), len(table) - 1)] == key
-                cold = h[~is_hot][:p].astype(np.int64)
-                cold_all.append(cold)
-                full.append(len(cold) == p)
+                cold = h[~is_hot][:p]
+                size.append(len(cold))
                 last.append(int(cold[-1]) if len(cold) == p else (1 << 62))
+                at = (cold >> np.uint64(48 - LIVE)).astype(np.int64)
+                cold_all.append(cold[(live[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1].astype(np.int64))
                 hot_all.append(h[is_hot][: p - len(cold)].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(full, pa.bool_()), pa.array(last, pa.int64()), pa.array(cold_all, pa.list_(pa.int64())), pa.array(hot_all, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "full", "last", "cold", "hot"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(last, pa.int64()), pa.array(cold_all, pa.list_(pa.int64())), pa.array(hot_all, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "p", "last", "cold", "hot"])
 
     return run
 
@@ -218,22 +231,29 @@ def jaccard_join(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     sets = scratch.table(shingle_sets(docs, width), "sets")
     ids = scratch.table(sets.select("doc_id", "n", "sig"), "ids")
     classes = ids.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
-    hot, shift = hot_shingles(sets, scratch, hot_df, hot_limit)
-    shared = spark.sparkContext.broadcast(hot)
-    rows = sets.where("n > 0 and doc_id is not null").mapInArrow(_prefixes(shared, shift, num, den), "doc_id long, n long, sig long, full boolean, last long, cold array<long>, hot array<long>")
+    hot, shift, live = hot_shingles(sets, scratch, hot_df, hot_limit)
+    scratch.tidy()
+    shared = spark.sparkContext.broadcast((hot, live))
+    del live
+    give_back()
+    rows = sets.where("n > 0 and doc_id is not null").mapInArrow(lean(_prefixes(shared, shift, num, den)), "doc_id long, n long, sig long, p long, last long, cold array<long>, hot array<long>")
     rows = scratch.table(rows, "prefixes")
     # Equal sets have equal prefixes, so this takes copies and classes of the same prefix and size together.
-    grouped = rows.withColumn("gid", F.xxhash64("cold", "n", "full"))
-    groups = grouped.groupBy("gid").agg(F.first("n").alias("n"), F.first("full").alias("full"), F.first("last").alias("last"), F.first("cold").alias("cold"))
-    index = groups.select("gid", "n", "last", F.size("cold").alias("p"), F.explode("cold").alias("t"))
-    lists = index.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "gid", "last", "p"))).alias("m")).where(F.size("m") > 1)
+    grouped = rows.withColumn("gid", F.xxhash64("cold", "n", "p"))
+    groups = grouped.groupBy("gid").agg(F.first("n").cast("int").alias("n"), F.first("cold").alias("cold"))
+    index = groups.select("gid", "n", F.explode("cold").alias("t"))
+    lists = index.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "gid"))).alias("m")).where(F.size("m") > 1)
     pair = F.expr(f"""flatten(transform(m, (x, i) -> transform(
-        filter(slice(m, i + 2, size(m)), y -> {den} * x.n >= {num} * y.n),
-        y -> struct(x.gid as g, y.gid as g2, x.n as n, y.n as n2,
-                    if(x.last <= y.last, x.n - x.p, y.n - y.p) as rest))))""")
-    pairs = lists.select(F.explode(pair).alias("x")).select("x.*").groupBy("g", "g2").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.first("rest").alias("rest"))
-    # den * o >= num * (n + n2 - o) needs o >= num * (n + n2) / (num + den); o <= c + what is left of either.
-    pairs = pairs.where(F.expr(f"({num} + {den}) * (c + rest) >= {num} * (n + n2)")).select("g", "g2")
+        filter(slice(m, i + 2, size(m)), y -> {den}L * x.n >= {num}L * y.n),
+        y -> struct(x.gid as g, y.gid as g2))))""")
+    pairs = lists.select(F.explode(pair).alias("x")).select("x.*").groupBy("g", "g2").agg(F.count("*").alias("c"))
+    # What is left behind the region that both prefixes cover: it ends where the first of them does.
+    ends = grouped.groupBy("gid").agg(F.first("n").alias("n"), (F.first("n") - F.first("p")).alias("rest"), F.min("last").alias("lo"), F.max("last").alias("hi"))
+    first = ends.select(F.col("gid").alias("g"), F.col("n").alias("n1"), F.col("rest").alias("r1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    second = ends.select(F.col("gid").alias("g2"), F.col("n").alias("n2"), F.col("rest").alias("r2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    rest = "case when hi1 <= lo2 then r1 when hi2 <= lo1 then r2 else greatest(r1, r2) end"
+    # den * o >= num * (n1 + n2 - o) needs o >= num * (n1 + n2) / (num + den); o <= c + what is left of either.
+    pairs = pairs.join(first, "g").join(second, "g2").where(F.expr(f"({num} + {den}) * (c + {rest}) >= {num} * (n1 + n2)")).select("g", "g2")
     members = grouped.groupBy("gid", "sig", "n").agg(F.min("doc_id").alias("rep"), F.first(F.size("cold") > 0).alias("some"))
     sizes = members.groupBy("gid").agg(F.count("*").alias("k"), F.min("rep").alias("lead"))
     # Groups of several classes: their members meet in blocks below.  Pairs of groups expand here.
@@ -248,7 +268,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     scratch.drop("sets"), scratch.drop("prefixes")
     first = h_want.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"))
     second = h_want.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
-    links = found.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(_verify_pairs(num, den), "a long, b long")
+    links = found.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(lean(_verify_pairs(num, den)), "a long, b long")
     many = gathered.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     placed = gathered.join(many, "c").withColumn("i", F.pmod(F.xxhash64("a"), F.col("nb")).cast("int"))
     met = placed.join(h_want.withColumnRenamed("doc_id", "a"), "a").select("c", "a", "h", "nb", "i", F.explode(F.expr("sequence(0, nb - 1)")).alias("j"))

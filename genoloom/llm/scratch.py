@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,44 @@ class Scratch:
         df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def tidy(self) -> None:
+        """Lets Spark drop the shuffle files of what is no longer referred to, which otherwise waits for the driver's
+        own garbage collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         path, fs = self._path(f"{self.root}/{name}")
         fs.delete(path, True)
+
+
+def lean(run):
+    """``run`` over batches, after which a worker gives memory that it freed back: workers live on from task to task,
+    and what one operator left would be held beside what the next one needs."""
+
+    def lean_run(batches):
+        _c_library(lambda c: (c.mallopt(-3, 1 << 19), c.mallopt(-1, 1 << 19)))  # arrays from 512 KB on by themselves
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lean_run
+
+
+def _c_library(use) -> None:
+    import ctypes
+
+    try:
+        use(ctypes.CDLL("libc.so.6"))
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def give_back() -> None:
+    """Memory that this process freed goes back to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _c_library(lambda c: c.malloc_trim(0))
