@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import small_batches
+from .scratch import lean, small_batches
 from .text import buffers, chunks, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -143,29 +143,36 @@ class Pieces:
 
     # --- many units at once
 
-    def many(self, units: list[str]) -> list[tuple[float, float, np.ndarray]]:
-        """``alone`` of each unit, those of alike length together."""
-        out: list = [None] * len(units)
+    def many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``alone`` of each unit, those of alike length together: scores, losses, numbers of ids, and all ids."""
         size = np.array([len(u) for u in units])
-        for at in np.flatnonzero(size > _LONG):
-            out[at] = self.alone(units[at])
         order = np.argsort(size, kind="stable")
-        order = order[size[order] <= _LONG]
-        a = 0
+        size = size[order]
+        parts, a = [], 0
         while a < len(order):
-            top = size[order[a]]
-            b = min(int(np.searchsorted(size[order], top + (top > 12) * 4, "right")), a + 200_000 // max(8, int(top)))
-            rows = order[a:b]
-            for row, got in zip(rows, self._together([units[r] for r in rows]), strict=True):
-                out[row] = got
+            top = int(size[a])
+            if top > _LONG:
+                score, gap, ids = self.alone(units[order[a]])
+                parts.append((np.array([score]), np.array([gap]), np.array([len(ids)]), ids))
+                a += 1
+                continue
+            b = min(int(np.searchsorted(size, min(_LONG, top + (top > 12) * 4), "right")), a + max(1, 60_000 // max(8, top)))
+            parts.append(self._together([units[r] for r in order[a:b]]))
             a = b
-        return out
+        if not parts:
+            return np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        score, gap, many, flat = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        begin = np.cumsum(many) - many
+        back = np.argsort(order, kind="stable")  # from the order by length to that of the units
+        many, begin = many[back], begin[back]
+        stop = np.cumsum(many)
+        return score[back], gap[back], many, flat[np.repeat(begin - (stop - many), many) + np.arange(len(flat))].astype(np.int32)
 
     def _together(self, units: list[str]):
         n, size = len(units), np.array([len(u) for u in units])
         width = int(size.max()) if n else 0
         if not width:
-            return [(0.0, np.inf, np.zeros(0, np.int64)) for _ in units]
+            return np.zeros(n), np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(0, np.int64)
         points = np.zeros((n, width), np.uint64)
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         at_row = np.repeat(np.arange(n), size)
@@ -226,11 +233,13 @@ class Pieces:
             chosen[rows_l, i] = w[rows_l]
         used = chosen > -2
         flat, many = chosen[used], used.sum(1)
-        stop = np.cumsum(many)
-        cols = [flat[a:b] for a, b in zip(stop - many, stop, strict=True)]
-        for r in np.flatnonzero((chosen == -1).any(1)):  # characters without a piece
-            cols[r] = np.array(self.to_ids(units[r], np.flatnonzero(on[r]) + on[r][on[r] > 0]), np.int64)
-        return list(zip(best.tolist(), gap.tolist(), cols, strict=True))
+        odd = np.flatnonzero((chosen == -1).any(1))  # characters without a piece
+        if len(odd):
+            cut = np.split(flat, np.cumsum(many)[:-1])
+            for r in odd:
+                cut[r] = np.array(self.to_ids(units[r], np.flatnonzero(on[r]) + on[r][on[r] > 0]), np.int64)
+            flat, many = np.concatenate(cut), np.array([len(c) for c in cut])
+        return best, gap, many, flat
 
     # --- decoding
 
@@ -266,7 +275,7 @@ def load(path: str, unknown: float = 10.0) -> Pieces:
 class Encoder:
     """Encodes chunks of texts, remembering units; the memory is emptied at ``most`` units."""
 
-    def __init__(self, pieces: Pieces, n: int, most: int = 400_000):
+    def __init__(self, pieces: Pieces, n: int, most: int = 250_000):
         self.pieces, self.n, self.most = pieces, n, most
         self._empty()
 
@@ -274,25 +283,22 @@ class Encoder:
         self.h, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of units, and their numbers
         self.score, self.gap = np.zeros(0), np.zeros(0)
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
-        self.units: list[str] = []
         self.lists: dict[int, list[float]] = {}
 
     def _learn(self, h: np.ndarray, units: list[str]) -> None:
         """Adds units with sorted hashes ``h``, none of which is known."""
-        got = self.pieces.many(units)
+        score, gap, many, flat = self.pieces.many(units)
         place = np.searchsorted(self.h, h)
-        self.at = np.insert(self.at, place, len(self.units) + np.arange(len(units)))
+        self.at = np.insert(self.at, place, len(self.score) + np.arange(len(units)))
         self.h = np.insert(self.h, place, h)
-        self.units += units
-        self.score = np.append(self.score, [g[0] for g in got])
-        self.gap = np.append(self.gap, [g[1] for g in got])
-        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(g[2]) for g in got]))
-        self.flat = np.append(self.flat, np.concatenate([g[2] for g in got]).astype(np.int32))
+        self.score, self.gap = np.append(self.score, score), np.append(self.gap, gap)
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(many))
+        self.flat = np.append(self.flat, flat)
 
-    def _others(self, u: int) -> list[float]:
+    def _others(self, u: int, unit: str) -> list[float]:
         """What the next n - 1 paths of a unit lose."""
         if u not in self.lists:
-            found = self.pieces.nbest(self.units[u], self.n)
+            found = self.pieces.nbest(unit, self.n)
             self.lists[u] = [found[0][0] - s for s, _ in found[1:]]
         return self.lists[u]
 
@@ -316,7 +322,7 @@ class Encoder:
             return
         h = word_hashes(raw, starts, ends)
         distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.units) > self.most:
+        if len(self.score) > self.most:
             self._empty()
         k = np.minimum(np.searchsorted(self.h, distinct), max(0, len(self.h) - 1))
         fresh = np.flatnonzero(self.h[k] != distinct) if len(self.h) else np.arange(len(distinct))
@@ -346,7 +352,7 @@ class Encoder:
                 pick = np.argpartition(g, min(self.n - 2, len(g) - 1))[: self.n - 1] if len(g) > self.n - 1 else np.arange(len(g))
                 for k in pick:
                     if g[k] < np.inf:
-                        losses = sorted(x + y for x in losses for y in [0.0, *self._others(int(local[a + k]))])[: self.n]
+                        losses = sorted(x + y for x in losses for y in [0.0, *self._others(int(local[a + k]), lattice(raw[starts[a + k] : ends[a + k]].tobytes().decode("utf-8", "replace")))])[: self.n]
             ok = same_all or self.pieces.decode_bytes(own).tobytes() == raw[new_edge[d] : new_edge[d + 1]].tobytes()
             yield own, [best - x for x in losses], ok
 
@@ -367,11 +373,11 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = 3) -> DataFrame:
         encoder = Encoder(shared.value, n)
         for batch in batches:
             data, at = buffers(batch.column(at_text))
-            got = [x for i, j in chunks(at) for x in encoder.chunk(data, at, i, j)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.list_(pa.float64())), pa.array([x[2] for x in got], pa.bool_())], names=[*batch.schema.names, "ids", "scores", "decodes"])
+            got = [x for i, j in chunks(at, 1 << 19) for x in encoder.chunk(data, at, i, j)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.list_(pa.float64())), pa.array([x[2] for x in got], pa.bool_())], names=[*batch.schema.names, "ids", "scores", "decodes"])
 
     add = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("decodes", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *add]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *add]))
 
 
 def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
