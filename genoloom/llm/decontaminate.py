@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import lean, small_batches
 from .text import buffers, chunks, mix, word_hashes
 
 # Units of measure, singular and plural, and currencies.
@@ -232,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                 ids = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[h[0]] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64()), pa.array([h[3] for h in hits], pa.int64())], names=["doc_id", "item_id", "covered", "n_changed"])
 
-        got = rows.mapInArrow(run, "doc_id long, item_id long, covered double, n_changed long")
+        got = rows.mapInArrow(lean(run), "doc_id long, item_id long, covered double, n_changed long")
         found = got if found is None else found.union(got)
     if found is None:
         return rows.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("covered"), F.lit(None).cast("long").alias("n_changed")).where("false")
@@ -254,7 +254,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                     keep[d] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

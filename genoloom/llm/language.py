@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .linear import scale_of, sigmoid, svm, trigram_scores, trigram_shares
-from .scratch import small_batches
+from .scratch import give_back, lean, small_batches
 from .text import buffers
 
 UNKNOWN = "und"
@@ -110,7 +110,10 @@ def train(docs: DataFrame, per_language: int = 500, most_languages: int = 1000)
     if rows.empty:
         return None
     rows = rows.sort_values(["lang", "x"])
-    return Model(np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1), rows["lang"].to_numpy(object))
+    model = Model(np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1), rows["lang"].to_numpy(object))
+    del rows
+    give_back()
+    return model
 
 
 def _has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -150,7 +153,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(mod: int, rest: int):

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linear import logistic, platt, scale_of, sigmoid, trigram_scores, trigram_shares
-from .scratch import small_batches
+from .scratch import give_back, lean, small_batches
 from .text import buffers, chunks, word_hashes, words
 
-BITS = 11
+BITS = 10
 _BINS = 64  # of the metadata view, for each of its fields
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = 1
@@ -116,7 +116,9 @@ class Model:
 
 def _fit(x_tri, x_shape, x_meta, y, known, held, rounds: int, give: float, sure: float, keep_good: float) -> Model:
     tri_scale, shape_scale = scale_of(x_tri), 1 / (x_shape.std(0) + 1e-6)
-    text = np.hstack([x_tri * tri_scale * 0.3, x_shape * shape_scale]).astype(np.float32)
+    text = np.empty((len(x_tri), x_tri.shape[1] + x_shape.shape[1]), np.float32)
+    np.multiply(x_tri, 0.3 * tri_scale, out=text[:, : x_tri.shape[1]], casting="same_kind")
+    np.multiply(x_shape, shape_scale, out=text[:, x_tri.shape[1] :], casting="same_kind")
     views = [text, x_meta]
     train = np.flatnonzero(known & ~held)
     pool = np.flatnonzero(~known)
@@ -185,7 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool
         return None
     held = np.array([zlib.crc32(f"q{i}".encode()) % 4 == 0 for i in found["doc_id"]])
     lists = [[None if v is None or v != v else v for v in found[c]] for c in ("source", "lang", "n_chars")]
-    return _fit(x[:, : 1 << BITS], shape_features(x[:, 1 << BITS :].astype(np.float64)), meta_features(*lists), y, known, held, rounds, give, sure, keep_good)
+    del found
+    model = _fit(x[:, : 1 << BITS], shape_features(x[:, 1 << BITS :].astype(np.float64)), meta_features(*lists), y, known, held, rounds, give, sure, keep_good)
+    del x
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -212,7 +218,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(q), pa.array(r), pa.array(keep)], names=[*batch.schema.names, "p_text", "p_meta", "quality", "keep"])
 
     add = [T.StructField(c, T.DoubleType()) for c in ("p_text", "p_meta", "quality")] + [T.StructField("keep", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *add]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *add]))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
