@@ -25,7 +25,7 @@ FAMILIES = {
     "indic": "hi mr ne bn gu pa",
 }
 _FAMILY = {x: f for f, xs in FAMILIES.items() for x in xs.split()}
-BITS = 12
+BITS = 11
 
 
 class Model:
@@ -93,7 +93,7 @@ def _shares(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
 
-def train(docs: DataFrame, per_language: int = 500, most_languages: int = 1000) -> Model | None:
+def train(docs: DataFrame, per_language: int = 400, most_languages: int = 1000) -> Model | None:
     """Learns from text and lang of ``docs`` (doc_id, text, lang): of each of the ``most_languages`` most frequent
     languages at most ``per_language`` rows with text, those with the least hashes of doc_id.  Those bounds are the
     size of what the driver sees.  Languages are counted over all rows first; a row whose hash is far above what its

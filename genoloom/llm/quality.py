@@ -166,7 +166,7 @@ def _fit(x_tri, x_shape, x_meta, y, known, held, rounds: int, give: float, sure:
     return Model(shape_scale, w[n_tri:], w[:n_tri] * tri_scale * 0.3, b, m, c, calibration, mixing, cut)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool: int = 2000, rounds: int = 4, give: float = 0.05, sure: float = 0.9, keep_good: float = 0.995) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_pool: int = 1500, rounds: int = 4, give: float = 0.05, sure: float = 0.9, keep_good: float = 0.995) -> Model | None:
     """Learns from at most ``max_labelled`` labelled documents and a pool of ``max_pool`` others, those with the least
     hashes of doc_id.  A quarter of the labelled, by another hash, is held out for calibration and the threshold,
     which keeps at least ``keep_good`` of the good ones there.  None without labels of both kinds."""

@@ -20,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many texts: a worker's memory then follows the texts' length, not the table's."""
+    _arrays_apart()
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if now <= 0 or now > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -60,7 +61,7 @@ def lean(run):
     and what one operator left would be held beside what the next one needs."""
 
     def lean_run(batches):
-        _c_library(lambda c: (c.mallopt(-3, 1 << 19), c.mallopt(-1, 1 << 19)))  # arrays from 512 KB on by themselves
+        _arrays_apart()
         try:
             yield from run(batches)
         finally:
@@ -69,6 +70,11 @@ def lean(run):
     return lean_run
 
 
+def _arrays_apart() -> None:
+    """Arrays from 512 KB on get pages of their own, which go back when they are freed."""
+    _c_library(lambda c: (c.mallopt(-3, 1 << 19), c.mallopt(-1, 1 << 19)))
+
+
 def _c_library(use) -> None:
     import ctypes
 
