@@ -57,6 +57,14 @@ def coordinates(snps: DataFrame, unit: str = "CM", window: float = 1.0) -> tuple
     return snps.withColumn("coord", F.when(none, F.col("bp") * (window / 1_000_000)).otherwise(F.col("cm")).cast("double")), window
 
 
+def left_edges(snps: DataFrame, window: float) -> DataFrame:
+    """``snps`` (chr, coord) with ``left``: of its chromosome, the variants strictly before its window's left edge."""
+    # those up to the edge less those on it
+    over = "count(*) over (partition by chr order by coord range between {} preceding and {}D preceding)"
+    reach = repr(float(window))
+    return snps.withColumn("left", F.expr(over.format("unbounded", reach)) - F.expr(over.format(reach + "D", reach)))
+
+
 def band(snps: DataFrame, window: float, chunk: int = 100, exact: bool = False) -> DataFrame:
     """(chr, a, b): pairs of chunks of ``chunk`` variants, b not after a, whose variants are paired.
 
@@ -65,11 +73,7 @@ def band(snps: DataFrame, window: float, chunk: int = 100, exact: bool = False)
     as its first one's window holds, rounded up to whole chunks.  ``exact`` (with a filter by the caller) keeps only
     the chunks that the window of one of its variants reaches.
     """
-    # variants strictly before the window's left edge: those up to it less those on it
-    over = "count(*) over (partition by chr order by coord range between {} preceding and {}D preceding)"
-    reach = repr(float(window))
-    left = F.expr(over.format("unbounded", reach)) - F.expr(over.format(reach + "D", reach))
-    rows = snps.withColumn("left", left).select("chr", "idx", "left")
+    rows = left_edges(snps, window).select("chr", "idx", "left")
     size = rows.groupBy("chr").agg(F.count("*").alias("m"), F.min(F.when(F.col("left") > 0, F.col("idx"))).alias("first"))
     b0 = F.ceil(F.col("first") / chunk).cast("long")
     start = rows.where(F.col("idx") % chunk == 0).join(size, "chr").withColumn("a", (F.col("idx") / chunk).cast("long")).withColumn("b0", b0)

@@ -463,13 +463,22 @@ def allele_stats(spark, sf_dir):
 l as (select a.idx, (select count(*) from s b where b.cm < a.cm - 1) as left_edge from s a where a.idx % 100 = 0)
 select idx, left_edge from l""")
 def ld_window_left(spark, sf_dir):
-    """The left edge of each hundredth variant's window, from the chunk pairs' own window function."""
-    from pyspark.sql.window import Window as W
+    """The left edge of each hundredth variant's window, as the SQL has it, all on one chromosome; every variant's is
+    in ``ld_window_left_all``."""
+    return ld.left_edges(_placed(spark, sf_dir, F.lit(1)), 10000).where("idx % 100 = 0").select("idx", F.col("left").alias("left_edge"))
 
-    s = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.round(F.col("o_orderkey") * 0.01 + (F.col("o_orderkey") % 7) * 0.0005, 4).alias("cm"))
-    s = s.withColumn("k", (F.col("cm") * 10000).cast("long"))
-    w = W.orderBy("k").rangeBetween(W.unboundedPreceding, -10001)
-    return s.withColumn("left_edge", F.count("*").over(w)).where("idx % 100 = 0").select("idx", "left_edge")
+
+def _placed(spark, sf_dir, chromosome):
+    # in ten-thousandths of a centimorgan, which doubles hold exactly
+    place = F.col("o_orderkey") * 100 + F.col("o_orderkey") % 7 * 5
+    return _t(spark, sf_dir, "orders").select(chromosome.alias("chr"), F.col("o_orderkey").alias("idx"), place.cast("double").alias("coord"))
+
+
+@query("""with s as (select o_orderkey as idx, o_orderkey % 22 + 1 as chr, o_orderkey * 100 + o_orderkey % 7 * 5 as k from orders)
+select chr, idx, count(*) over (partition by chr order by k range between unbounded preceding and 10001 preceding) as left_edge from s""")
+def ld_window_left_all(spark, sf_dir):
+    """The left edge of every variant's window, by the expression of ``ld.band``."""
+    return ld.left_edges(_placed(spark, sf_dir, F.col("o_orderkey") % 22 + 1), 10000).select("chr", "idx", F.col("left").alias("left_edge"))
 
 
 # --- regression ---------------------------------------------------------------------------------------------------

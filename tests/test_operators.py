@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions import stats
 from genoloom.operators import combine, diagnose, expression, gss, intervals, ld, neighbors, ranks, regress, sumstats
+from genoloom.plans.catalog import QUERIES
 
 
 def frame(spark, rows, schema):
@@ -193,6 +194,23 @@ def test_ld_band(spark, window):
     assert have.keys() == want.keys() and all(have[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("window", [0, 1, 2.5, 100])
+def test_left_edges(spark, window):
+    rng = np.random.default_rng(3)
+    rows = [(int(c), i, float(x)) for i, (c, x) in enumerate(zip(rng.integers(1, 4, 200), rng.integers(0, 60, 200) / 2, strict=True))]
+    got = ld.left_edges(frame(spark, rows, "chr int, idx long, coord double"), window).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["left"] == sum(c == r["chr"] and x < r["coord"] - window for c, _, x in rows)
+
+
+def test_every_variant_has_a_left_edge(spark, data):
+    orders = [r[0] for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect()]
+    place = {i: i * 100 + i % 7 * 5 for i in orders}
+    got = {r["idx"]: r["left_edge"] for r in QUERIES["ld_window_left_all"](spark, data).collect()}
+    assert got == {i: sum(j % 22 == i % 22 and place[j] < place[i] - 10000 for j in orders) for i in orders}
+
+
 def test_invalid_variants_go(spark):
     rows = frame(spark, [(1, 0, [1, 1, 9]), (1, 1, [0, 1, 2]), (1, 2, [2, 2, 2])], "chr int, idx long, g array<tinyint>")
     got = ld.valid_snps(ld.allele_stats(rows)).orderBy("idx").collect()
