@@ -549,6 +549,13 @@ def winsorize(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("price"))
 
 
+@query("select l_orderkey, l_linenumber, l_partkey, least(l_extendedprice, q) as price from lineitem, (select quantile_cont(l_extendedprice, 0.99) as q from lineitem)")
+def winsorize_all(spark, sf_dir):
+    """Every row; ``winsorize`` keeps those that its SQL keeps."""
+    rows = diagnose.winsorize(_t(spark, sf_dir, "lineitem"), "l_extendedprice", 0.99)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("price"))
+
+
 @query("""with s as (select o_orderkey as snp, o_orderkey % 22 + 1 as chr, (o_orderkey * 37) % 100000 as bp from orders), m as (select chr, max(bp) as l from s group by chr),
 c as (select chr, coalesce(sum(l) over (order by chr rows between unbounded preceding and 1 preceding), 0) as off from m) select snp, s.chr, bp, cast(bp + off as bigint) as x from s join c on c.chr = s.chr""")
 def manhattan_pos(spark, sf_dir):

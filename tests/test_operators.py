@@ -297,6 +297,15 @@ def test_specificity_of_a_lonely_gene(spark):
     assert got == {"a": pytest.approx(math.exp(math.sqrt(10) / 2) - 1), "b": pytest.approx(math.exp(2) - 1)}
 
 
+def test_every_row_is_winsorized(spark, data):
+    rows = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice").toPandas()
+    top = np.quantile(rows["l_extendedprice"].astype(float), 0.99)
+    want = sorted(zip(rows["l_orderkey"], rows["l_linenumber"], np.minimum(rows["l_extendedprice"].astype(float), top), strict=True))
+    got = sorted((r["l_orderkey"], r["l_linenumber"], float(r["price"])) for r in QUERIES["winsorize_all"](spark, data).collect())
+    assert len(got) == len(want)
+    assert all(a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-6) for a, b in zip(got, want, strict=True))
+
+
 def test_homologs_keep_first(spark):
     x = frame(spark, [("m1", 1.0), ("m2", 2.0), ("m3", 3.0)], "gene string, value double")
     h = frame(spark, [("m1", "H", 1), ("m2", "H", 0), ("m3", "K", 2), ("m3", "L", 3)], "species_gene string, human_gene string, seq int")
