@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .linear import scale_of, sigmoid, svm, trigram_scores, trigram_shares
+from .linear import pack, scale_of, sigmoid, svm, trigram_scores, trigram_shares, unpack
 from .scratch import give_back, lean, small_batches
 from .text import buffers
 
@@ -25,18 +25,19 @@ FAMILIES = {
     "indic": "hi mr ne bn gu pa",
 }
 _FAMILY = {x: f for f, xs in FAMILIES.items() for x in xs.split()}
-BITS = 11
+BITS = 12
 
 
 class Model:
-    """Weights over trigram shares, one column a classifier: families against the rest, then pairs of languages."""
+    """Weights over trigram shares, one column a classifier: families against the rest, then pairs of languages.
+    ``x`` is scaled in place."""
 
     def __init__(self, x: np.ndarray, lang: np.ndarray):
         self.languages = sorted(set(lang))
         family = np.array([_FAMILY.get(v, v) for v in lang])
         self.families = sorted(set(family))
         scale, columns, self.bias = scale_of(x), [], []
-        x = x * scale
+        x *= scale
 
         def add(rows, y):
             w, b = svm(x[rows], y)
@@ -90,10 +91,10 @@ class Model:
 def _shares(batches):
     for batch in batches:
         x = trigram_shares(*buffers(batch.column(1)), BITS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pack(x), pa.binary())], names=["lang", "x"])
 
 
-def train(docs: DataFrame, per_language: int = 400, most_languages: int = 1000) -> Model | None:
+def train(docs: DataFrame, per_language: int = 500, most_languages: int = 1000) -> Model | None:
     """Learns from text and lang of ``docs`` (doc_id, text, lang): of each of the ``most_languages`` most frequent
     languages at most ``per_language`` rows with text, those with the least hashes of doc_id.  Those bounds are the
     size of what the driver sees.  Languages are counted over all rows first; a row whose hash is far above what its
@@ -110,7 +111,7 @@ def train(docs: DataFrame, per_language: int = 400, most_languages: int = 1000)
     if rows.empty:
         return None
     rows = rows.sort_values(["lang", "x"])
-    model = Model(np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1), rows["lang"].to_numpy(object))
+    model = Model(unpack(rows.pop("x"), 1 << BITS), rows["lang"].to_numpy(object))
     del rows
     give_back()
     return model

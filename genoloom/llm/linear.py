@@ -31,6 +31,21 @@ def trigram_shares(data: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def pack(x: np.ndarray) -> list[bytes]:
+    """Each row's places that are not zero, then their values; rows of at most 65,536 columns."""
+    places = (np.flatnonzero(row).astype(np.uint16) for row in x)
+    return [at.tobytes() + row[at].astype(np.float32).tobytes() for at, row in zip(places, x, strict=True)]
+
+
+def unpack(rows, width: int, more: int = 0) -> np.ndarray:
+    """What ``pack`` took, with ``more`` columns of zeros behind."""
+    out = np.zeros((len(rows), width + more), np.float32)
+    for row, raw in zip(out, rows, strict=True):
+        n = len(raw) // 6
+        row[np.frombuffer(raw, np.uint16, n)] = np.frombuffer(raw[2 * n :], np.float32)
+    return out
+
+
 def trigram_scores(data: np.ndarray, at: np.ndarray, weights: np.ndarray, bits: int) -> np.ndarray:
     """Share vectors times ``weights`` (2 ** bits, classifiers), without making the vectors."""
     out = np.zeros((len(at) - 1, weights.shape[1]))
@@ -51,25 +66,34 @@ def trigram_scores(data: np.ndarray, at: np.ndarray, weights: np.ndarray, bits:
 
 def scale_of(x: np.ndarray) -> np.ndarray:
     """Per column, one over the spread; columns that hardly vary are damped."""
-    sd = x.std(0)
+    mean = x.mean(0, dtype=np.float64)
+    sd = np.sqrt(sum(((x[i : i + 256] - mean) ** 2).sum(0) for i in range(0, len(x), 256)) / len(x)).astype(x.dtype)
     return 1 / (sd + sd[sd > 0].mean() if (sd > 0).any() else sd + 1)
 
 
+def _forth(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """x times ``v``, whose last entry is the offset; x is not copied."""
+    return x @ v[:-1] + v[-1]
+
+
+def _back(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return np.append(x.T @ r, r.sum(keepdims=True))
+
+
 def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """A linear support vector machine: squared hinge loss, classes weighed alike, accelerated gradient.  y: -1, 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
-    probe = np.random.default_rng(0).normal(size=x.shape[1]).astype(x.dtype)
+    probe = np.random.default_rng(0).normal(size=x.shape[1] + 1).astype(x.dtype)
     for _ in range(20):
-        probe = x.T @ (weight.astype(x.dtype) * (x @ probe))
+        probe = _back(x, weight.astype(x.dtype) * _forth(x, probe))
         norm = np.linalg.norm(probe)
         probe /= norm or 1
     lam = 1e-4
     rate = 1 / (2 * norm + lam)
-    w = v = np.zeros(x.shape[1], x.dtype)
+    w = v = np.zeros(x.shape[1] + 1, x.dtype)
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        g = lam * v - 2 * (x.T @ (weight * y * slack).astype(x.dtype))
+        slack = np.maximum(0, 1 - y * _forth(x, v))
+        g = lam * v - 2 * _back(x, (weight * y * slack).astype(x.dtype))
         new = v - rate * g
         v = new + k / (k + 3) * (new - w)
         w = new
@@ -78,19 +102,18 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 300) -> tuple
 
 def logistic(x: np.ndarray, y: np.ndarray, lam: float = 1e-3, steps: int = 300, balanced: bool = True) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient.  y: 0, 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.full(len(y), 1 / max(1, len(y)))
     if balanced and 0 < y.sum() < len(y):
         weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    probe = np.ones(x.shape[1], x.dtype)
+    probe = np.ones(x.shape[1] + 1, x.dtype)
     for _ in range(20):
-        probe = x.T @ (weight * (x @ probe)).astype(x.dtype)
+        probe = _back(x, (weight * _forth(x, probe)).astype(x.dtype))
         norm = np.linalg.norm(probe)
         probe /= norm or 1
     rate = 1 / (norm / 4 + lam)
-    w = v = np.zeros(x.shape[1], x.dtype)
+    w = v = np.zeros(x.shape[1] + 1, x.dtype)
     for k in range(steps):
-        g = x.T @ (weight * (sigmoid(x @ v) - y)).astype(x.dtype)
+        g = _back(x, (weight * (sigmoid(_forth(x, v)) - y)).astype(x.dtype))
         g[:-1] += lam * v[:-1]
         new = v - rate * g
         v = new + k / (k + 3) * (new - w)

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .linear import logistic, platt, scale_of, sigmoid, trigram_scores, trigram_shares
+from .linear import logistic, pack, platt, scale_of, sigmoid, trigram_scores, trigram_shares, unpack
 from .scratch import give_back, lean, small_batches
 from .text import buffers, chunks, word_hashes, words
 
-BITS = 10
+BITS = 11
 _BINS = 64  # of the metadata view, for each of its fields
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = 1
@@ -88,8 +88,8 @@ def meta_features(source, lang, n_chars) -> np.ndarray:
 def _picked(batches):
     for batch in batches:
         data, at = buffers(batch.column(2))
-        x = np.hstack([trigram_shares(data, at, BITS), shapes(data, at).astype(np.float32)])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "y", "source", "lang", "n_chars", "x"])
+        x, shape = trigram_shares(data, at, BITS), shapes(data, at).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array(pack(x), pa.binary()), pa.array([v.tobytes() for v in shape], pa.binary())], names=["doc_id", "y", "source", "lang", "n_chars", "x", "shape"])
 
 
 class Model:
@@ -114,11 +114,12 @@ class Model:
         return sigmoid(text_l), sigmoid(meta_l), sigmoid(w * text_l + v * meta_l + u)
 
 
-def _fit(x_tri, x_shape, x_meta, y, known, held, rounds: int, give: float, sure: float, keep_good: float) -> Model:
-    tri_scale, shape_scale = scale_of(x_tri), 1 / (x_shape.std(0) + 1e-6)
-    text = np.empty((len(x_tri), x_tri.shape[1] + x_shape.shape[1]), np.float32)
-    np.multiply(x_tri, 0.3 * tri_scale, out=text[:, : x_tri.shape[1]], casting="same_kind")
-    np.multiply(x_shape, shape_scale, out=text[:, x_tri.shape[1] :], casting="same_kind")
+def _fit(text, x_shape, x_meta, y, known, held, rounds: int, give: float, sure: float, keep_good: float) -> Model:
+    # text: trigram shares, and room for the shape; filled in place
+    n_tri = text.shape[1] - x_shape.shape[1]
+    tri_scale, shape_scale = scale_of(text[:, :n_tri]), 1 / (x_shape.std(0) + 1e-6)
+    text[:, :n_tri] *= 0.3 * tri_scale
+    np.multiply(x_shape, shape_scale, out=text[:, n_tri:], casting="same_kind")
     views = [text, x_meta]
     train = np.flatnonzero(known & ~held)
     pool = np.flatnonzero(~known)
@@ -162,11 +163,10 @@ def _fit(x_tri, x_shape, x_meta, y, known, held, rounds: int, give: float, sure:
         # between the chosen cut and the next score below it
         k = int(worth.argmax())
         cut = float((cuts[k] + cuts[k - 1]) / 2) if k else float(cuts[0])
-    n_tri = x_tri.shape[1]
     return Model(shape_scale, w[n_tri:], w[:n_tri] * tri_scale * 0.3, b, m, c, calibration, mixing, cut)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_pool: int = 1500, rounds: int = 4, give: float = 0.05, sure: float = 0.9, keep_good: float = 0.995) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool: int = 2000, rounds: int = 4, give: float = 0.05, sure: float = 0.9, keep_good: float = 0.995) -> Model | None:
     """Learns from at most ``max_labelled`` labelled documents and a pool of ``max_pool`` others, those with the least
     hashes of doc_id.  A quarter of the labelled, by another hash, is held out for calibration and the threshold,
     which keeps at least ``keep_good`` of the good ones there.  None without labels of both kinds."""
@@ -177,19 +177,18 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_pool
     other = ids.join(votes.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(max_pool).withColumn("y", F.lit(None).cast("int"))
     picked = known.union(other)
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(picked), "doc_id").select("doc_id", F.col("y").cast("int"), "text", "source", "lang", F.col("n_chars").cast("long"))
-    found = rows.mapInArrow(_picked, "doc_id long, y int, source string, lang string, n_chars long, x binary").toPandas()
+    found = rows.mapInArrow(_picked, "doc_id long, y int, source string, lang string, n_chars long, x binary, shape binary").toPandas()
     if found.empty:
         return None
-    found = found.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
-    x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(len(found), -1)
+    found = found.sort_values(["doc_id", "x", "shape"]).drop_duplicates("doc_id")
+    shape = shape_features(np.frombuffer(b"".join(found["shape"]), np.float32).reshape(len(found), -1).astype(np.float64))
     known, y = found["y"].notna().to_numpy(), found["y"].fillna(0).to_numpy(int)
     if len(set(y[known])) < 2:
         return None
     held = np.array([zlib.crc32(f"q{i}".encode()) % 4 == 0 for i in found["doc_id"]])
     lists = [[None if v is None or v != v else v for v in found[c]] for c in ("source", "lang", "n_chars")]
+    model = _fit(unpack(found.pop("x"), 1 << BITS, shape.shape[1]), shape, meta_features(*lists), y, known, held, rounds, give, sure, keep_good)
     del found
-    model = _fit(x[:, : 1 << BITS], shape_features(x[:, 1 << BITS :].astype(np.float64)), meta_features(*lists), y, known, held, rounds, give, sure, keep_good)
-    del x
     give_back()
     return model
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from genoloom.llm import decontaminate as D
 from genoloom.llm import gru_lm as G
 from genoloom.llm import language as L
+from genoloom.llm import linear
 from genoloom.llm import quality as Q
 
 
@@ -65,6 +66,28 @@ def test_quality_of_odd_rows(spark, data):
     assert [r["keep"] for r in Q.classify(rows, None).orderBy("doc_id").collect()] == [False, False, True]
 
 
+def test_sizes_of_training():
+    import inspect
+
+    sizes = {k: v.default for f in (L.train, Q.train) for k, v in inspect.signature(f).parameters.items()}
+    assert (sizes["per_language"], sizes["max_labelled"], sizes["max_pool"], L.BITS, Q.BITS) == (500, 4000, 2000, 12, 11)
+
+
+def test_training_copies_no_matrix():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x = (rng.random((1000, 1 << 12)) * (rng.random((1000, 1 << 12)) < 0.1)).astype(np.float32)
+    assert (linear.unpack(linear.pack(x), 1 << 12) == x).all()
+    y = (x[:, 0] + x[:, 1] > 0.1).astype(float)
+    for fit in (lambda: linear.svm(x, 2 * y - 1, steps=3), lambda: linear.logistic(x, y, steps=3), lambda: linear.scale_of(x)):
+        tracemalloc.start()
+        fit()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < x.nbytes * 0.9
+
+
 TEXTS = [(i, " ".join(f"w{(i * 7 + k) % 40}" if k % 3 else "The" for k in range(i % 25))) for i in range(120)] + [(500, None), (501, ""), (502, "new words Only"), (502, "new words Only")]
 
 
