@@ -111,7 +111,7 @@ def classify(found: list[tuple[str, int, bool, bool]], short: int = 70, long: in
     """Whether each block is article text.
 
     First pass, each block by itself: boilerplate elements and dense links are out; within an article element a
-    block is in; elsewhere long blocks with enough stop words are in, long ones without are out, and short blocks
+    block is in; elsewhere, on every page, long blocks with enough stop words are in, long ones without are out, and short blocks
     stay open, as do those in between.  Second pass: an open block takes the label of the nearest decided block,
     where two are as near, in wins if either is; without any decided block all open ones are in.
     """
@@ -129,9 +129,6 @@ def classify(found: list[tuple[str, int, bool, bool]], short: int = 70, long: in
             w = _WORD.findall(text.lower())
             density = sum(x in STOP_WORDS for x in w) / max(1, len(w))
             label.append(True if density >= high or density >= low and len(text) >= long else None if density >= low else False)
-    # an article element decides the page: what is outside it is not the article
-    if any(article and not boiler for _, _, boiler, article in found):
-        label = [x if article else False for x, (_, _, _, article) in zip(label, found, strict=True)]
     open_in = not any(x is not None and not b[2] for x, b in zip(label, found, strict=True))
     n = len(label)
     left, right = [None] * n, [None] * n

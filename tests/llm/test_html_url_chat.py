@@ -20,6 +20,12 @@ def test_article():
     assert html_text.main_text("<article><p title=\"a>b\">q</p><!-- <p>no</p> --></article>") == "q"
 
 
+def test_rules_hold_on_pages_with_an_article_element():
+    body = "the main text of this page is not in the element and it has the words that a text of its length has to have " * 3
+    page = f"<article><p>a teaser</p></article><div><p>{body}</p></div><div>Buy now !!! 50 % {'offer ' * 40}</div>"
+    assert html_text.main_text(page) == f"a teaser {body.strip()}"
+
+
 def test_without_an_article_element():
     body = "The house was on the hill and it was the one that we had in the town for all of the years. " * 4
     page = f"<div><a href='/'>Home</a> <a href='/b'>About us here</a></div><h2>Short</h2><p>{body}</p><p>Tail.</p><div><a href='q'>x y z</a></div><div>Imprint</div>"
