@@ -41,9 +41,10 @@ def _pack(h: np.ndarray) -> bytes:
     return np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _unpack(b: bytes) -> np.ndarray:
+def _unpack(b) -> np.ndarray:
+    b = np.frombuffer(b, np.uint8)
     x = np.zeros((len(b) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    x[:, :6] = b.reshape(-1, 6)
     return x.view("<u8").reshape(-1)
 
 
@@ -73,7 +74,10 @@ def _ranges(bits: int):
 
     def run(batches):
         for batch in batches:
-            h = np.sort(_unpack(b"".join(batch.column(0).to_pylist())))
+            column = batch.column(0).cast(pa.large_binary())
+            _, at, data = column.buffers()
+            at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
+            h = np.sort(_unpack(np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]))
             top = (h >> np.uint64(48 - bits)).astype(np.int64)
             low = (h >> np.uint64(16 - bits)).astype(np.uint32)
             cuts = np.searchsorted(top, np.arange((1 << bits) + 1))
@@ -127,6 +131,11 @@ def hot_shingles(sets: DataFrame, scratch: Scratch, hot_df: int, hot_limit: int)
     return np.sort(found.where(F.col("df") > least).select("h").toPandas()["h"].to_numpy(np.int64)), 16 - bits, live.ravel()
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    at = np.cumsum([0] + [len(x) for x in parts], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def _prefixes(shared, shift: int, num: int, den: int):
     """Of the cold prefix in hash order the live shingles, its size p and last hash, and the hot shingles that a prefix
     which the cold ones do not fill goes on with."""
@@ -135,20 +144,20 @@ def _prefixes(shared, shift: int, num: int, den: int):
         table, live = shared.value
         for batch in batches:
             cold_all, size, hot_all, last = [], [], [], []
-            for n, blob in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                h = _unpack(blob)
-                p = n - -(-num * n // den) + 1
+            for n, blob in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
+                h = _unpack(blob.as_buffer())
+                p = n - -(-num * n // den) + 1 if n else 0
                 is_hot = np.zeros(len(h), bool)
                 if len(table) and len(h):
                     key = (h >> np.uint64(shift)).astype(np.int64)
                     is_hot = table[np.minimum(np.searchsorted(table, key), len(table) - 1)] == key
                 cold = h[~is_hot][:p]
                 size.append(len(cold))
-                last.append(int(cold[-1]) if len(cold) == p else (1 << 62))
+                last.append(int(cold[-1]) if p and len(cold) == p else (1 << 62))
                 at = (cold >> np.uint64(48 - LIVE)).astype(np.int64)
                 cold_all.append(cold[(live[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1].astype(np.int64))
                 hot_all.append(h[is_hot][: p - len(cold)].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(last, pa.int64()), pa.array(cold_all, pa.list_(pa.int64())), pa.array(hot_all, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "p", "last", "cold", "hot"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(last, pa.int64()), _lists(cold_all), _lists(hot_all)], names=["doc_id", "n", "sig", "p", "last", "cold", "hot"])
 
     return run
 
@@ -229,15 +238,15 @@ def jaccard_join(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     scratch = scratch or Scratch(spark)
     num, den = threshold
     sets = scratch.table(shingle_sets(docs, width), "sets")
-    ids = scratch.table(sets.select("doc_id", "n", "sig"), "ids")
-    classes = ids.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
     hot, shift, live = hot_shingles(sets, scratch, hot_df, hot_limit)
     scratch.tidy()
     shared = spark.sparkContext.broadcast((hot, live))
     del live
     give_back()
-    rows = sets.where("n > 0 and doc_id is not null").mapInArrow(lean(_prefixes(shared, shift, num, den)), "doc_id long, n long, sig long, p long, last long, cold array<long>, hot array<long>")
-    rows = scratch.table(rows, "prefixes")
+    every = sets.mapInArrow(lean(_prefixes(shared, shift, num, den)), "doc_id long, n long, sig long, p long, last long, cold array<long>, hot array<long>")
+    every = scratch.table(every, "prefixes")
+    rows = every.where("n > 0 and doc_id is not null")
+    classes = rows.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
     # Equal sets have equal prefixes, so this takes copies and classes of the same prefix and size together.
     grouped = rows.withColumn("gid", F.xxhash64("cold", "n", "p"))
     groups = grouped.groupBy("gid").agg(F.first("n").cast("int").alias("n"), F.first("cold").alias("cold"))
@@ -265,7 +274,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     same = members.where("some").join(sizes.where("k > 1"), "gid").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     gathered = components(star.union(same), scratch, "crowd").withColumnRenamed("node", "a").withColumnRenamed("component", "c")
     h_want = scratch.table(_only(sets.select("doc_id", "h"), found.select("a").union(found.select("b")).union(gathered.select("a"))), "wanted")
-    scratch.drop("sets"), scratch.drop("prefixes")
+    scratch.drop("sets")
     first = h_want.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"))
     second = h_want.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
     links = found.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(lean(_verify_pairs(num, den)), "a long, b long")
@@ -277,7 +286,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
     label = components(scratch.table(links, "links"), scratch, "cc")
     # each document gets its class's representative's component
     named = classes.join(label, classes.rep == label.node, "left").select("sig", "n", F.coalesce("component", "rep").alias("component_id"))
-    return ids.join(named, ["sig", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return every.join(named, ["sig", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group: what a writer or a reader of a table holds at once.
+ROW_GROUP = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="genoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,7 +48,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it again: later jobs start from the files, wherever an executor was lost."""
         where = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(where)
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def tidy(self) -> None:
