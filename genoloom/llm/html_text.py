@@ -15,6 +15,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("head title button select option textarea iframe noscript template dialog svg canvas object video audio".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu".split())
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments comentarios consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+LAYOUT_WORDS = frozenset("and area bar block body bottom box button buttons container content extra fixed float form global group in inline inner js left link links list main mobile outer overlay page panel post right section site slot sticky the top unit up view wrap wrapper".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 STOP_WORDS = frozenset("""
 the of and to in a is that it for on was be with as this by are from at or an have not his he they which but we you all
@@ -24,10 +25,19 @@ el los las del y que por con no su para es al lo como mas pero sus o este ha si
 """.split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _named_boiler(value: str) -> bool:
+    """Whether one of a class or id attribute's names is made of boilerplate words, and words of layout beside them."""
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if not BOILER_WORDS.isdisjoint(parts) and all(x in BOILER_WORDS or x in LAYOUT_WORDS for x in parts):
+            return True
+    return False
+
+
 def _boiler(tag: str, attributes: str) -> bool:
     """Whether an element's tag or attributes say that it is no part of the article."""
     if tag in BOILER_TAGS or tag in SKIPPED:
@@ -38,9 +48,8 @@ def _boiler(tag: str, attributes: str) -> bool:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in BOILER_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main"):
-            if not BOILER_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
+        if name in ("class", "id") and tag not in ("html", "body", "main") and _named_boiler(value):
+            return True
     return False
 
 
@@ -107,30 +116,39 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
+def evidence(text: str, linked: int, article: bool, short: int, long: int, low: float, high: float, links: float) -> int:
+    """What a block says of itself: 2 and more, it is article text; -1 and less, it is not; between, it is open.
+
+    Stop-word density counts with the length behind it; an article or main element adds one point, so that in it a
+    block without stop words (a table, a list of names) is open rather than out.  Dense links take a point, a block
+    that is little else than links is out.
+    """
+    if linked > links * len(text):
+        return article - 1 if linked < 0.8 * len("".join(text.split())) else -1
+    words = _WORD.findall(text.lower())
+    density = sum(x in STOP_WORDS for x in words) / max(1, len(words))
+    if len(text) < short:
+        points = 0
+    elif density >= high or density >= low and len(text) >= long:
+        points = 2
+    else:
+        points = 1 if density >= low else -1
+    return points + article
+
+
 def classify(found: list[tuple[str, int, bool, bool]], short: int = 70, long: int = 200, low: float = 0.2, high: float = 0.3, links: float = 0.33) -> list[bool]:
     """Whether each block is article text.
 
-    First pass, each block by itself: boilerplate elements and dense links are out; within an article element a
-    block is in; elsewhere, on every page, long blocks with enough stop words are in, long ones without are out, and short blocks
-    stay open, as do those in between.  Second pass: an open block takes the label of the nearest decided block,
-    where two are as near, in wins if either is; without any decided block all open ones are in.
+    Blocks of elements that their markup names as boilerplate are out and are nobody's neighbours.  First pass over
+    the others, each by itself: stop-word density, length and link density decide, or leave it open (``evidence``).
+    Second pass: an open block takes the label of the nearest decided block, where two are as near, in wins if either
+    is; without any decided block all open ones are in.
     """
-    label: list[bool | None] = []
-    for text, linked, boiler, article in found:
-        if boiler:
-            label.append(False)
-        elif article:
-            label.append(True)
-        elif linked > links * len(text):
-            label.append(False)
-        elif len(text) < short:
-            label.append(None)
-        else:
-            w = _WORD.findall(text.lower())
-            density = sum(x in STOP_WORDS for x in w) / max(1, len(w))
-            label.append(True if density >= high or density >= low and len(text) >= long else None if density >= low else False)
-    open_in = not any(x is not None and not b[2] for x, b in zip(label, found, strict=True))
-    n = len(label)
+    out = [False] * len(found)
+    rest = [k for k, b in enumerate(found) if not b[2]]
+    points = [evidence(found[k][0], found[k][1], found[k][3], short, long, low, high, links) for k in rest]
+    label = [True if x >= 2 else False if x < 0 else None for x in points]
+    n = len(rest)
     left, right = [None] * n, [None] * n
     last = None
     for i in range(n):
@@ -140,17 +158,17 @@ def classify(found: list[tuple[str, int, bool, bool]], short: int = 70, long: in
     for i in range(n - 1, -1, -1):
         last = i if label[i] is not None else last
         right[i] = last
-    out = []
-    for i, x in enumerate(label):
+    for i, k in enumerate(rest):
+        x = label[i]
         if x is None:
             a, b = left[i], right[i]
-            if open_in or a is None and b is None:
+            if a is None and b is None:
                 x = True
             elif a is None or b is None:
                 x = label[b if a is None else a]
             else:
                 x = label[a] if i - a < b - i else label[b] if b - i < i - a else label[a] or label[b]
-        out.append(bool(x))
+        out[k] = bool(x)
     return out
 
 
@@ -164,7 +182,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html; other columns are ignored).
 
     Each page is one row's own work: no shuffle.  Null or empty html gives an empty text; repeated rows give
-    repeated rows.
+    repeated rows, an empty table an empty one.  A very long page is read whole, in time and memory in proportion.
+    Ties between neighbours are settled in ``classify``; nothing else can tie.
     """
 
     def run(batches):
@@ -185,7 +204,7 @@ OP5_SQL = """
 with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') as x from pages),
 b as (select page_id, url, regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?(p|h1)>', ' ', 'g') as x from a),
 c as (select page_id, url, regexp_replace(x, '<[^>]*>', '', 'g') as x from b),
-d as (select page_id, url, replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as x from c),
+d as (select page_id, url, regexp_replace(replace(replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g') as x from c),
 e as (select page_id, url, trim(regexp_replace(x, '\\s+', ' ', 'g')) as text from d)
 select page_id, url, text, length(text) as n_chars from e
 """

@@ -20,19 +20,48 @@ def test_article():
     assert html_text.main_text("<article><p title=\"a>b\">q</p><!-- <p>no</p> --></article>") == "q"
 
 
+BODY = "the main text of this page is not in the element and it has the words that a text of its length has to have " * 3
+
+
 def test_rules_hold_on_pages_with_an_article_element():
-    body = "the main text of this page is not in the element and it has the words that a text of its length has to have " * 3
-    page = f"<article><p>a teaser</p></article><div><p>{body}</p></div><div>Buy now !!! 50 % {'offer ' * 40}</div>"
-    assert html_text.main_text(page) == f"a teaser {body.strip()}"
+    page = f"<article><p>a teaser</p></article><div><p>{BODY}</p></div><div>Buy now !!! 50 % {'offer ' * 40}</div>"
+    assert html_text.main_text(page) == f"a teaser {BODY.strip()}"
+    # a menu within the element goes by its links, a short line beside it with it
+    page = f"<main><div><a href=x>One of the pages</a> <a href=y>and another of them</a></div><div>More</div><div><a href=z>and the last of them</a></div><p>{BODY}</p><p>end</p></main>"
+    assert html_text.main_text(page) == f"{BODY.strip()} end"
+
+
+def test_stop_words_decide(monkeypatch):
+    names = "Alder Birch Cedar Dogwood Elm Fir Ginkgo Hazel Ironwood Juniper Katsura Larch Maple " * 4
+    page = f"<div><p>{BODY}</p><p>short</p></div><div>{names}</div><div>also</div>"
+    mixed = f"<article><p>{BODY}</p><p>{names}</p></article><div>{names}</div><div>{BODY}</div>"
+    assert html_text.main_text(page) == f"{BODY.strip()} short"
+    assert html_text.main_text(mixed) == f"{BODY.strip()} {names.strip()} {BODY.strip()}"
+    monkeypatch.setattr(html_text, "STOP_WORDS", frozenset())
+    assert html_text.main_text(page) == html_text.main_text(mixed) == ""
+
+
+def test_attributes_are_read_by_their_names():
+    keep = ['data-id="ad"', 'data-role="form"', 'class="share-price"', 'title="class=ad"', "data-x='id=\"menu\"'", 'class="headered"']
+    assert html_text.main_text("".join(f"<p {a}>t{k}</p>" for k, a in enumerate(keep))) == " ".join(f"t{k}" for k in range(len(keep)))
+    drop = ['class="ad"', "id=comments", 'class="x site-header"', "CLASS='Cookie-Notice'", "hidden", 'aria-hidden="true"', 'role="navigation"', 'class="ad-slot-2"']
+    assert html_text.main_text("".join(f"<p {a}>t</p>" for a in drop) + "<p>in</p>") == "in"
 
 
 def test_without_an_article_element():
     body = "The house was on the hill and it was the one that we had in the town for all of the years. " * 4
     page = f"<div><a href='/'>Home</a> <a href='/b'>About us here</a></div><h2>Short</h2><p>{body}</p><p>Tail.</p><div><a href='q'>x y z</a></div><div>Imprint</div>"
-    assert html_text.main_text(page) == f"Short {body.strip()} Tail. Imprint" or html_text.main_text(page) == f"Short {body.strip()} Tail."
+    assert html_text.main_text(page) == f"Short {body.strip()} Tail."
     assert html_text.classify([("x", 0, False, False), ("y", 0, True, False)]) == [True, False]
 
 
+def test_very_long_page_and_empty_table(spark):
+    page = "<article>" + "<p>the one of the many that is in it</p>" * 60_000 + "</article>"
+    rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html_text.extract(rows).first()["n_chars"] == 60_000 * 37 - 1
+    assert html_text.extract(rows.where("false")).count() == 0
+
+
 def test_extract_rows(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "clash"), (None, None, None, "c"), (1, "u", PAGE, "clash")], "page_id long, url string, html string, text string")
     got = html_text.extract(rows).collect()
