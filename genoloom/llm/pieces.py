@@ -4,8 +4,9 @@ A text is read with a space before it and its spaces as the piece mark.  No piec
 character or a line feed, so a text falls into *units* (spaces and what follows to the next space; a line feed) whose
 lattices are independent.  The forward Viterbi scores of a unit are computed for all new units of a chunk at once.
 They are exact heuristics for a backward A* search, whose first N complete paths are the N best.  The N best of a
-whole text change only those of its units that lose least by a change, so A* runs on N - 1 units of a text; what a
-unit loses by its second-best path follows from forward and backward scores of its edges.
+whole text change only those of its units that lose least by a change, so A* runs on N - 1 units of a text, and each
+of the N best is the best path with those units' ids replaced; what a unit loses by its second-best path follows from
+forward and backward scores of its edges.
 
 A character without a piece is an edge at ``unknown`` below the worst learned piece and becomes its bytes' pieces, as does a
 piece mark that the text itself holds; so decoding gives back every text exactly.
@@ -93,41 +94,55 @@ class Pieces:
 
     # --- one unit at a time
 
-    def forward(self, s: str) -> list[float]:
-        """Best score of each prefix."""
-        f = [0.0] + [-np.inf] * len(s)
+    def nbest(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best segmentations: (score, ends of pieces), best first.
+
+        The forward pass gives each position its Viterbi score, the piece that it comes by (of equal ones the shorter),
+        and the n - 1 cheapest turns off the best path to it: (loss, position, length of the other piece).  Backward
+        A*: the forward score is the exact cost of what is left, so a step along the best path costs nothing and is
+        taken at once; the queue holds turns only, by the score of the best whole path through them, and gives back
+        whole paths in order.  Of equal ones that which was found first comes first.  Memory: a few numbers a
+        character, and at most n * n turns.
+        """
+        most, ids, score = self.most, self.ids, self.score
+        f, by, turns = [0.0] * (len(s) + 1), bytearray(len(s) + 1), [()] * (len(s) + 1)
         for j in range(1, len(s) + 1):
-            f[j] = f[j - 1] + self._edge(s, j - 1, j)
-            for i in range(max(0, j - self.most), j - 1):
-                if (k := self.ids.get(s[i:j])) is not None and f[i] + self.score[k] > f[j]:
-                    f[j] = f[i] + self.score[k]
-        return f
+            found = []
+            for l in range(1, min(most, j) + 1):
+                k = ids.get(s[j - l : j])
+                if k is not None:
+                    found.append((f[j - l] + score[k], l))
+                elif l == 1:
+                    found.append((f[j - 1] + self.unknown, 1))
+            best, length = max(found, key=lambda x: x[0])
+            f[j], by[j], up = best, length, turns[j - length]
+            if n > 1 and len(found) > 1:
+                worst = up[-1][0] if len(up) >= n - 1 else np.inf
+                own = [(best - x, j, l) for x, l in found if l != length and best - x < worst]
+                if own:
+                    up = tuple(sorted([*up, *own], key=lambda x: x[0])[: n - 1])
+            turns[j] = up
+        out, queue, made = [], [(0.0, 0, len(s), ())], 0
+        while queue and len(out) < n:
+            loss, _, start, taken = heapq.heappop(queue)  # the best path, turned off at ``taken``, is free up to start
+            out.append((f[-1] - loss, self._ends(by, len(s), dict(taken))))
+            for more, j, l in turns[start]:
+                made += 1
+                heapq.heappush(queue, (loss + more, made, j - l, (*taken, (j, l))))
+        return out
+
+    @staticmethod
+    def _ends(by: bytearray, at: int, taken: dict[int, int]) -> tuple[int, ...]:
+        out = []
+        while at:
+            out.append(at)
+            at -= taken.get(at) or by[at]
+        return tuple(reversed(out))
 
     def _edge(self, s: str, i: int, j: int) -> float:
         k = self.ids.get(s[i:j])
         return self.score[k] if k is not None else self.unknown if j == i + 1 else -np.inf
 
-    def nbest(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations: (score, ends of pieces), best first; equal scores with the later last cut first.
-
-        Backward A*: a state is a suffix that is cut; its priority is the suffix's score plus the best score of the
-        prefix before it, so states leave the queue in the order of the best whole path through them.
-        """
-        if not s:
-            return [(0.0, ())]
-        f, out = self.forward(s), []
-        queue = [(-f[-1], (), len(s), 0.0)]
-        while queue and len(out) < n:
-            worst, cuts, at, suffix = heapq.heappop(queue)
-            if at == 0:
-                out.append((-worst, tuple(-c for c in reversed(cuts))))
-                continue
-            for i in range(max(0, at - self.most), at):
-                e = self._edge(s, i, at)
-                if e > -np.inf:
-                    heapq.heappush(queue, (-(f[i] + e + suffix), cuts + (-at,), i, suffix + e))
-        return out
-
     def to_ids(self, s: str, ends) -> list[int]:
         out, at = [], 0
         for e in ends:
@@ -283,7 +298,7 @@ class Encoder:
         self.h, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of units, and their numbers
         self.score, self.gap = np.zeros(0), np.zeros(0)
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
-        self.lists: dict[int, list[float]] = {}
+        self.lists: dict[int, list[tuple[float, list[int]]]] = {}
 
     def _learn(self, h: np.ndarray, units: list[str]) -> None:
         """Adds units with sorted hashes ``h``, none of which is known."""
@@ -295,15 +310,19 @@ class Encoder:
         self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(many))
         self.flat = np.append(self.flat, flat)
 
-    def _others(self, u: int, unit: str) -> list[float]:
-        """What the next n - 1 paths of a unit lose."""
+    def _others(self, u: int, unit: str) -> list[tuple[float, list[int]]]:
+        """(loss, ids) of the next n - 1 paths of a unit."""
         if u not in self.lists:
-            found = self.pieces.nbest(unit, self.n)
-            self.lists[u] = [found[0][0] - s for s, _ in found[1:]]
+            (best, _), *rest = self.pieces.nbest(unit, self.n)
+            self.lists[u] = [(best - x, self.pieces.to_ids(unit, ends)) for x, ends in rest]
         return self.lists[u]
 
     def chunk(self, data: np.ndarray, at: np.ndarray, i: int, j: int):
-        """Yields (ids, scores of the n best, decodes to itself) of texts i to j."""
+        """Yields (ids, scores of the n best, decodes to itself, what the others replace) of texts i to j.
+
+        What the k-th best path replaces: (place in ids, number of ids there, ids instead) of each unit that it
+        cuts otherwise, from the first to the last.
+        """
         low, size = data[at[i] : at[j]], np.diff(at[i : j + 1])
         edge = at[i:j] - at[i]
         full = size > 0
@@ -318,7 +337,7 @@ class Encoder:
         ends = np.append(starts[1:], len(raw))
         if not len(starts):
             for _ in range(j - i):
-                yield np.zeros(0, np.int64), [0.0], True
+                yield np.zeros(0, np.int64), [0.0], True, []
             return
         h = word_hashes(raw, starts, ends)
         distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -342,30 +361,39 @@ class Encoder:
         for d in range(j - i):
             a, b = bounds[d], bounds[d + 1]
             if a == b:
-                yield np.zeros(0, np.int64), [0.0], True
+                yield np.zeros(0, np.int64), [0.0], True, []
                 continue
             own = ids[stop[a] : stop[b]]
             best = float(score[a:b].sum())
-            losses = [0.0]
+            paths: list[tuple[float, tuple]] = [(0.0, ())]
             if self.n > 1:
                 g = gap[a:b]
                 pick = np.argpartition(g, min(self.n - 2, len(g) - 1))[: self.n - 1] if len(g) > self.n - 1 else np.arange(len(g))
-                for k in pick:
+                for k in pick[np.argsort(g[pick], kind="stable")]:
                     if g[k] < np.inf:
-                        losses = sorted(x + y for x in losses for y in [0.0, *self._others(int(local[a + k]), lattice(raw[starts[a + k] : ends[a + k]].tobytes().decode("utf-8", "replace")))])[: self.n]
+                        unit = lattice(raw[starts[a + k] : ends[a + k]].tobytes().decode("utf-8", "replace"))
+                        place = (int(stop[a + k] - stop[a]), int(many[a + k]))
+                        other = [(y, ((*place, ids_y),)) for y, ids_y in self._others(int(local[a + k]), unit)]
+                        paths = sorted(((x + y, c + d) for x, c in paths for y, d in [(0.0, ()), *other]), key=lambda p: p[0])[: self.n]
             ok = same_all or self.pieces.decode_bytes(own).tobytes() == raw[new_edge[d] : new_edge[d + 1]].tobytes()
-            yield own, [best - x for x in losses], ok
+            yield own, [best - x for x, _ in paths], ok, [sorted(c) for _, c in paths[1:]]
+
+
+_CHANGE = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
 
 def encode(docs: DataFrame, path: str = MODEL, n: int = 3) -> DataFrame:
-    """``docs`` (text and any other columns) with ids, scores (of the n best segmentations) and decodes.
+    """``docs`` (text and any other columns) with ids, scores (of the n best segmentations), others and decodes.
 
-    ids: the best segmentation; decodes: whether it decodes to the text.  A null or empty text has no ids and one
-    score, 0.  Columns of these names are replaced.  The pieces are broadcast (a vocabulary's size).  No shuffle.
+    ids: the best segmentation; others: of each further one what it replaces in ids, as (at, n, ids), from which
+    ``nbest_ids`` makes it; decodes: whether ids decode to the text.  A null or empty text has no ids and one score,
+    0.  Columns of these names are replaced.  Among equal segmentations the one with shorter pieces at its end is
+    taken; repeated rows give repeated rows, an empty table an empty one.  A very long text, or one without any
+    space, takes memory in proportion to its own length.  The pieces are broadcast (a vocabulary's size).  No shuffle.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("ids", "scores", "decodes")
+    docs = docs.drop("ids", "scores", "others", "decodes")
     at_text = docs.columns.index("text")
     shared = spark.sparkContext.broadcast(load(path))
 
@@ -374,12 +402,26 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = 3) -> DataFrame:
         for batch in batches:
             data, at = buffers(batch.column(at_text))
             got = [x for i, j in chunks(at, 1 << 19) for x in encoder.chunk(data, at, i, j)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.list_(pa.float64())), pa.array([x[2] for x in got], pa.bool_())], names=[*batch.schema.names, "ids", "scores", "decodes"])
+            size = np.cumsum([0] + [len(x[0]) for x in got], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate([x[0] for x in got]).astype(np.int32) if got else np.zeros(0, np.int32)))
+            others = [[[{"at": a, "n": m, "ids": c} for a, m, c in p] for p in x[3]] for x in got]
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([x[1] for x in got], pa.list_(pa.float64())), pa.array(others, pa.list_(pa.list_(_CHANGE))), pa.array([x[2] for x in got], pa.bool_())], names=[*batch.schema.names, "ids", "scores", "others", "decodes"])
 
-    add = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("decodes", T.BooleanType())]
+    change = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    add = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("others", T.ArrayType(T.ArrayType(change))), T.StructField("decodes", T.BooleanType())]
     return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *add]))
 
 
+def nbest_ids(k: int):
+    """The ids of the k-th best segmentation (1: the best) of encoded rows, null where there is none."""
+    if k == 1:
+        return F.col("ids")
+    change = f"""aggregate(others[{k - 2}], named_struct('at', 0, 'out', cast(array() as array<int>)), (s, c) ->
+        named_struct('at', c.at + c.n, 'out', concat(s.out, slice(ids, s.at + 1, c.at - s.at), c.ids)),
+        s -> concat(s.out, slice(ids, s.at + 1, size(ids) - s.at)))"""
+    return F.expr(f"case when size(others) >= {k - 1} then {change} end")
+
+
 def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
     """``rows`` (ids array<int> and any other columns) with the text of their ids; null ids give a null text."""
     rows = rows.drop("text")
@@ -394,9 +436,12 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """The columns of the query, from encoded rows: ids as the SHA-256 of their decimal forms joined by spaces."""
+    """The columns of the query, from encoded rows: ids as the SHA-256 of their decimal forms joined by spaces; of the
+    second and third segmentation the number of pieces and what they replace, in the same form."""
     nth = [F.get("scores", F.lit(k)).alias(f"score_{k + 1}") for k in range(3)]
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), *nth, "decodes")
+    said = F.transform(F.col("others"), lambda p: F.array_join(F.transform(p, lambda c: F.concat_ws(" ", c["at"], c["n"], F.array_join(c["ids"], " "))), ";"))
+    more = [F.get(said, F.lit(k)).alias(f"change_{k + 2}") for k in range(2)]
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), *nth, *more, "decodes")
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

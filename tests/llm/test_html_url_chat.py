@@ -58,7 +58,7 @@ def test_without_an_article_element():
 def test_very_long_page_and_empty_table(spark):
     page = "<article>" + "<p>the one of the many that is in it</p>" * 60_000 + "</article>"
     rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
-    assert html_text.extract(rows).first()["n_chars"] == 60_000 * 37 - 1
+    assert html_text.extract(rows).first()["n_chars"] == 60_000 * 34 - 1
     assert html_text.extract(rows.where("false")).count() == 0
 
 
