@@ -139,6 +139,56 @@ def test_network_is_a_distribution_and_learns():
     assert back[1, 4] == pytest.approx((net.loss_of(h, y).sum() - net.loss_of(h2, y).sum()) / 1e-5, abs=1e-3)
 
 
+def test_gradients_through_time():
+    rng = np.random.default_rng(3)
+    net = G.Gru(7, 2, 5, 3, rng.random(9) * 9)
+    net.p = {k: w.astype(np.float64) for k, w in net.p.items()}
+    x, y = rng.integers(0, 9, (6, 4)), rng.integers(0, 9, (6, 4))
+    h = rng.normal(size=(4, 5))
+    grads, last = net.gradients(x, y, h)
+
+    def loss():
+        states, now = [], h
+        for t in range(6):
+            a, g = net.p["e"][x[t]] @ net.p["x"] + net.p["b"], now @ net.p["u"]
+            r, z = 1 / (1 + np.exp(-(a + g)[:, :5])), 1 / (1 + np.exp(-(a + g)[:, 5:10]))
+            new = np.tanh(a[:, 10:] + r * g[:, 10:])
+            now = new + z * (now - new)
+            states.append(now)
+        assert np.allclose(now, last, atol=1e-3)
+        return -net.loss_of(np.concatenate(states), y.ravel()).sum()
+
+    for k, w in net.p.items():
+        for at in rng.choice(w.size, min(12, w.size), replace=False):
+            flat, was = w.reshape(-1), w.reshape(-1)[at]
+            if was < -15:  # a slot without a word
+                continue
+            flat[at] = was + 1e-5
+            up = loss()
+            flat[at] = was - 1e-5
+            down = loss()
+            flat[at] = was
+            assert (up - down) / 2e-5 == pytest.approx(grads[k].reshape(-1)[at], rel=1e-4, abs=1e-6), k
+
+
+def test_learns_in_every_task(spark):
+    rng = np.random.default_rng(1)
+    names = [f"w{i}" for i in range(40)]
+
+    def text(n, step):
+        at, out = int(rng.integers(40)), []
+        for _ in range(n):
+            at = (at + step + int(rng.integers(2))) % 40
+            out.append(names[at])
+        return " ".join(out)
+
+    rows = [(i, text(300, 3)) for i in range(400)] + [(1000, text(200_000, 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    of = lambda **o: G.lm_scores(df.where("doc_id < 50"), df.where("doc_id >= 50"), sample=2, steps=20, hidden=8, **o).agg({"score": "sum"}).first()[0]
+    few, all_ = of(every=10**6), of(every=1)
+    assert all_ > 0.9 * few > 3 * all_
+
+
 def test_state_goes_through_long_texts():
     net = G.Gru(20, 2, 8, 6, np.ones(22))
     rng = np.random.default_rng(2)
