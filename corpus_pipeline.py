@@ -7,6 +7,8 @@ repeated rows one stays after the third.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -35,17 +37,24 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     of repeated rows of one doc_id, the first by the other columns."""
     scratch = Scratch(spark)
     named = scratch.table(jaccard_join.jaccard_join(docs, width=5, threshold=(80, 100), scratch=scratch), "named")
-    many = named.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), (F.count("*") > 1).alias("_many"))
-    touched = scratch.table(many.where("_gone or _many"), "touched")
-    # A table of at most 2 ** 18 hash values, broadcast, lets most untouched documents by without a shuffle.
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18))
-    slots = F.broadcast(touched.select(slot.alias("_slot")).distinct())
-    marked = docs.withColumn("_slot", slot)
-    by = marked.join(slots, "_slot", "left_anti").select(*docs.columns)
-    near = marked.join(slots, "_slot", "left_semi").join(touched, "doc_id", "left").where("not coalesce(_gone, false)")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-    once = near.where("_many").withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
-    return by.union(near.where("not coalesce(_many, false)").select(*docs.columns)).union(once)
+    gone, many = (scratch.table(x, n) for x, n in (
+        (named.where("doc_id <> component_id").select(F.col("doc_id").alias("k")).distinct(), "gone"),
+        (named.where("doc_id is not null").groupBy(F.col("doc_id").alias("k")).count().where("count > 1").select("k"), "many"),
+    ))
+    left = docs if gone.isEmpty() else scratch.without(docs, gone, {"k": _key(F.col("doc_id"))})
+    if many.isEmpty():
+        return left
+    # rows of one doc_id: the first by its other columns
+    row, nth, k = (c + uuid.uuid4().hex for c in ("row", "nth", "k"))
+    rows = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias(row), F.col("doc_id").cast("long").alias(k))
+    again = rows.join(many.withColumnRenamed("k", k), k, "left_semi")
+    once = again.withColumn(nth, F.row_number().over(W.partitionBy(k).orderBy(F.to_json(row)))).where(F.col(nth) == 1).select(f"{row}.*")
+    return scratch.without(left, many, {"k": _key(F.col("doc_id"))}).union(once)
+
+
+def _key(doc_id):
+    """doc_id, never null: a null one is as no other."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

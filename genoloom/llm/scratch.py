@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of a row group: what a writer or a reader of a table holds at once.
@@ -51,6 +52,18 @@ class Scratch:
         df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def without(self, docs: DataFrame, gone: DataFrame, keys: dict, slots: int = 1 << 18) -> DataFrame:
+        """``docs`` without the rows whose ``keys`` (names of columns of ``gone``, and expressions over docs that are
+        never null) are in ``gone``.  A table of at most ``slots`` hash values is broadcast, so that only rows that
+        fall into a slot of one that goes are joined, and shuffled where ``gone`` is large."""
+        row, slot = "row" + uuid.uuid4().hex, "slot" + uuid.uuid4().hex
+        marks = gone.select(F.pmod(F.xxhash64(*keys), F.lit(slots)).alias(slot)).distinct()
+        marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *[k.alias(n) for n, k in keys.items()])
+        marked = marked.withColumn(slot, F.pmod(F.xxhash64(*keys), F.lit(slots)))
+        by = marked.join(F.broadcast(marks), slot, "left_anti").select(f"{row}.*")
+        near = marked.join(F.broadcast(marks), slot, "left_semi").join(gone, list(keys), "left_anti").select(f"{row}.*")
+        return by.union(near)
+
     def tidy(self) -> None:
         """Lets Spark drop the shuffle files of what is no longer referred to, which otherwise waits for the driver's
         own garbage collection."""

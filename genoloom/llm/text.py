@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(1)
+@functools.lru_cache(2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     ups = np.full(size, _BASE, np.uint64)
     downs = np.full(size, _INVERSE, np.uint64)
@@ -35,6 +35,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(ups), np.multiply.accumulate(downs)
 
 
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of running sums, and of its inverse: at least ``size`` of each."""
+    return _powers(max(CHUNK + (1 << 16), 1 << size.bit_length()))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column, and its n + 1 offsets; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -83,8 +88,7 @@ def words(data: np.ndarray, offsets: np.ndarray, i: int, j: int):
 
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word from one running polynomial sum over the chunk."""
-    size = max(CHUNK + (1 << 16), 1 << int(len(low)).bit_length())
-    up, down = _powers(size)
+    up, down = powers(len(low))
     run = np.zeros(len(low) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=run[1:])
     return mix((run[ends] - run[starts]) * down[starts])

@@ -233,20 +233,41 @@ def test_copies_and_reparameterised_questions(spark):
     assert got[0, 1] == (1.0, False) and got[1, 1][0] > 0.7 and got[1, 1][1]
     assert (3, 1) in got and got[7, 2] == (1.0, False) and got[9, 5][0] > 0.5
     assert not any(k[0] in (4, 5, 6, 8) or k[1] in (3, 4) for k in got)
-    assert leaked(spark, texts, block=1) == got
 
 
-def test_inconsistent_slots_are_no_copy():
-    item = "If Tom has 3 apples and gives 3 apples to Mary then how many apples does Tom keep for himself today"
-    index = D.Index({1: item}, 8, 3)
-    same = "if Ann has 5 apples and gives 5 apples to Eve then how many apples does Ann keep for himself today"
-    other = same.replace("gives 5", "gives 6")
+def test_slots_map_one_to_one():
+    def rows(mine, theirs):
+        return [(0, (D.LITERAL, D.NUMBER, D.LITERAL, D.NUMBER), (1, mine[0], 2, mine[1]), (1, theirs[0], 2, theirs[1]))]
 
-    def find(text):
-        data, at = D.buffers(__import__("pyarrow").array([text]))
-        return index.find(*D.tokens(data, at, 0, 1))
+    assert D.judge(rows((3, 5), (4, 9))) == ({0, 1, 2, 3}, 2, 2) and D.judge(rows((3, 3), (4, 4)))[0] == {0, 1, 2, 3}
+    assert not D.judge(rows((3, 5), (4, 4)))[0] and not D.judge(rows((3, 3), (4, 5)))[0]
+    # a window that disagrees goes, the others stay
+    many = [(p, (D.LITERAL, D.NUMBER), (1, 3), (1, 4)) for p in (0, 2, 4)] + [(6, (D.LITERAL, D.NUMBER), (1, 3), (1, 5))]
+    assert D.judge(many)[0] == set(range(6))
 
-    assert find("Question: " + same) and not find("Question: " + other)
+
+def test_slots_names_and_items_with_one_id(spark):
+    items = [
+        (1, "On day 3 Tom bought 5 kg and Ann bought 7 kg so how many kg do 3 shops need in 12 days"),
+        (2, "Compute 3 + 4 + 5 + 6"),
+        (3, "Tom runs. Al swims. Eve reads. Who of them is it that does not sit at home"),
+        (4, "the first text of an item that has two of them under one id"),
+        (4, "and here is another one that has no word of it at all in common with that"),
+    ]
+    texts = [
+        "On day 8 Jim bought 2 kg and Sue bought 9 kg so how many kg do 8 shops need in 14 days",
+        "x. Compute 30 + 41 + 52 + 63",
+        "Bob runs. Ed swims. Zoe reads. Who of them is it that does not sit at home",
+        "see: the first text of an item that has two of them under one id.",
+        "see: and here is another one that has no word of it at all in common with that.",
+        "1 2 3 4 5 6 7 8 9 10 11 12 13 14 and 3 + 4 + 5",
+        "On day 8 it rained. 5 kg and 7 kg are 12 kg. Nobody bought it",
+    ]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, k1 string")
+    got = {(r["doc_id"], r["item_id"]): r["covered"] for r in D.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 4)} and min(got.values()) > 0.8
+    long = spark.createDataFrame([(1, "other words " * 200_000 + texts[0] + " more of it" * 200_000)], "doc_id long, text string")
+    assert D.leaks(long, spark.createDataFrame(items, "item_id long, text string")).first()["item_id"] == 1
 
 
 def test_clean_keeps_the_rest_as_it_is(spark):
