@@ -38,8 +38,3 @@ def cauchy_combination(results: DataFrame, spots: DataFrame | None = None, keys:
     marked = mark_outliers(rows, [*keys, annotation])
     out = marked.groupBy(*keys, annotation).agg(acat(F.col("p"), ~F.col("removed")).alias("p_cauchy"), F.median("p").alias("p_median"))
     return out.orderBy(*keys, "p_cauchy", annotation)
-
-
-def literal_tail(t: Column) -> Column:
-    """1 - cdf as such, with its loss of digits, for comparison."""
-    return 0.5 - F.atan(t) / F.pi()

@@ -80,7 +80,3 @@ def manhattan_table(sumstats: DataFrame, snp_gene: DataFrame, genes: DataFrame)
 def unmatched_genes(genes: DataFrame, table: DataFrame) -> DataFrame:
     """Genes without a variant to highlight."""
     return genes.select("gene").join(table.select("gene"), "gene", "left_anti").distinct()
-
-
-def region_top(rows: DataFrame, k: int, order: str) -> DataFrame:
-    return rows.orderBy(F.desc(order), "gene").limit(k)

@@ -26,11 +26,12 @@ def without_mitochondrial(genes: DataFrame, gene: str = "gene") -> DataFrame:
 
 
 def to_human_genes(expression: DataFrame, homologs: DataFrame, least: int = 100) -> DataFrame:
-    """Genes renamed by ``homologs`` (species_gene, human_gene, seq); of names that come twice the first by seq.
-    Fewer than ``least`` common genes are an error."""
-    pairs = first_of(homologs, ["species_gene"], ["seq", "human_gene"])
-    pairs = first_of(pairs, ["human_gene"], ["seq", "species_gene"]).select(F.col("species_gene").alias("gene"), "human_gene")
-    common = expression.select("gene").distinct().join(pairs, "gene")
+    """Genes renamed by ``homologs`` (species_gene, human_gene, seq); of the genes that the sample has, those of one
+    human gene leave the first by seq.  Fewer than ``least`` common genes are an error."""
+    there = expression.select("gene").distinct()
+    pairs = homologs.join(there, F.col("species_gene") == F.col("gene"), "left_semi")
+    pairs = first_of(pairs, ["species_gene"], ["seq", "human_gene"])
+    common = first_of(pairs, ["human_gene"], ["seq", "species_gene"]).select(F.col("species_gene").alias("gene"), "human_gene")
     if least and common.limit(least).count() < least:
         raise ValueError(f"fewer than {least} genes have a homolog")
     return expression.join(common, "gene").withColumn("gene", F.col("human_gene")).drop("human_gene")
@@ -49,14 +50,36 @@ def gene_moments(expression: DataFrame, n_spots) -> DataFrame:
     return expression.groupBy("gene").agg(mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd"))
 
 
+def _dense(expression: DataFrame, genes: DataFrame, spots: DataFrame) -> DataFrame:
+    """A row for each spot and each of ``genes`` (gene, and columns that stay), zeros among them: choose genes first."""
+    listed = genes.agg(F.collect_list(F.struct(*genes.columns)).alias("g"))  # one row: the chosen genes
+    rows = spots.select("sample", "spot").crossJoin(F.broadcast(listed)).select("sample", "spot", F.inline("g"))
+    rows = rows.join(expression.select("sample", "spot", "gene", "value"), ["sample", "spot", "gene"], "left")
+    return rows.withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
 def scale(expression: DataFrame, moments: DataFrame, spots: DataFrame, top: float = 10.0) -> DataFrame:
     """Zero mean and unit variance per gene, clipped at ``top``; every spot gets a row for each of the given genes
     (choose genes first).  A gene that does not vary is zero."""
     genes = moments.select("gene", "mean", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd"))
-    listed = genes.agg(F.collect_list(F.struct("gene", "mean", "sd")).alias("g"))  # one row: the chosen genes
-    rows = spots.select("sample", "spot").crossJoin(F.broadcast(listed)).select("sample", "spot", F.inline("g"))
-    rows = rows.join(expression.select("sample", "spot", "gene", "value"), ["sample", "spot", "gene"], "left")
-    return rows.select("sample", "spot", "gene", F.least((F.coalesce("value", F.lit(0.0)) - F.col("mean")) / F.col("sd"), F.lit(top)).alias("value"))
+    rows = _dense(expression, genes, spots)
+    return rows.select("sample", "spot", "gene", F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.lit(top)).alias("value"))
+
+
+def _residual(value, mean, theta: float, clip: float | None):
+    r = F.when(mean > 0, (value - mean) / F.sqrt(mean + mean * mean / theta)).otherwise(0.0)
+    return r if clip is None else F.greatest(F.least(r, F.lit(clip)), F.lit(-clip))
+
+
+def dense_residuals(expression: DataFrame, genes: DataFrame, spots: DataFrame, theta: float = 100.0, clip: float | None = 10.0) -> DataFrame:
+    """Pearson residuals of counts of the chosen ``genes`` in all ``spots``, those of cells without a count too, under
+    totals over all genes of ``expression``."""
+    by_spot = expression.groupBy("sample", "spot").agg(F.sum("value").alias("_s"))
+    total = expression.groupBy("sample").agg(F.sum("value").alias("_t"))
+    by_gene = expression.join(F.broadcast(genes.select("gene")), "gene", "left_semi").groupBy("sample", "gene").agg(F.sum("value").alias("_g"))
+    rows = _dense(expression, genes.select("gene"), spots).join(by_spot, ["sample", "spot"], "left").join(by_gene, ["sample", "gene"], "left").join(total, "sample")
+    mean = F.coalesce(F.col("_g") * F.col("_s") / F.col("_t"), F.lit(0.0))
+    return rows.select("sample", "spot", "gene", _residual(F.col("value"), mean, theta, clip).alias("value"))
 
 
 def pearson_residuals(expression: DataFrame, theta: float = 100.0, clip: float | None = 10.0) -> DataFrame:
@@ -65,10 +88,7 @@ def pearson_residuals(expression: DataFrame, theta: float = 100.0, clip: float |
     rows = expression.withColumn("_g", F.sum("value").over(by_gene)).withColumn("_s", F.sum("value").over(by_spot))
     total = expression.groupBy("sample").agg(F.sum("value").alias("_t"))
     rows = rows.join(total, "sample").withColumn("_m", F.col("_g") * F.col("_s") / F.col("_t"))
-    r = (F.col("value") - F.col("_m")) / F.sqrt(F.col("_m") + F.col("_m") * F.col("_m") / theta)
-    if clip is not None:
-        r = F.greatest(F.least(r, F.lit(clip)), F.lit(-clip))
-    return rows.withColumn("value", r).drop("_g", "_s", "_t", "_m")
+    return rows.withColumn("value", _residual(F.col("value"), F.col("_m"), theta, clip)).drop("_g", "_s", "_t", "_m")
 
 
 def variable_genes(expression: DataFrame, n_spots, n_top: int = 3000, bins: int = 20) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ def knn_spatial(spots: DataFrame, k: int, keys: tuple = ("sample", "annotation")
         return rows.withColumn("cx", F.floor((F.col("sx") - F.col("x0")) / width)).withColumn("cy", F.floor((F.col("sy") - F.col("y0")) / width))
 
     asking, out = pts, None
-    for k_round in range(24):
+    for k_round in itertools.count():  # ends when a cell is wider than all groups
         wide = F.col("w") * 2.0**k_round
         cells = place(pts, wide).select(*keys, F.col("pos").alias("dst"), F.col("sx").alias("tx"), F.col("sy").alias("ty"), "cx", "cy")
         asked = place(asking, wide).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy"))
@@ -46,7 +48,7 @@ def knn_spatial(spots: DataFrame, k: int, keys: tuple = ("sample", "annotation")
         done = near.where("sure").drop("sure")
         out = done if out is None else out.unionByName(done)
         left = near.where("not sure and rank = 1").select(*keys, F.col("src").alias("pos"))
-        if cell or left.isEmpty():
+        if left.isEmpty():
             break
         asking = cut(asking.join(left, [*keys, "pos"], "left_semi"))
     return out

@@ -49,8 +49,3 @@ def slice_mean(partials: DataFrame) -> DataFrame:
 def expressed_share(expression: DataFrame, n_spots) -> DataFrame:
     """(gene, frac): share of spots where a gene is not zero, a little above none."""
     return expression.groupBy("gene").agg((F.count_if(F.col("value") != 0) / F.lit(n_spots) + 1e-12).alias("frac"))
-
-
-def plain_mean(ranks: DataFrame) -> DataFrame:
-    """(gene, g_mean) of rows that are all there (a dense layer)."""
-    return ranks.groupBy("gene").agg(geometric_mean(F.col("rank")).alias("g_mean"))

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import cauchy_statistic, norm_isf, norm_sf
+from ..functions.stats import cauchy_statistic, norm_sf
+from ..functions.stats import z_from_p as signed_z
 from ..operators import combine, diagnose, expression, gss, intervals, ld, neighbors, ranks, regress, sumstats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,9 +73,9 @@ def cauchy_by_user(spark, sf_dir):
 
 
 @query("""select event_type as annotation, round(log10(avg(case when p < 1e-15 then 1 / p / pi() else tan((0.5 - p) * pi()) end)), 6) as log_t
-from (select event_type, exp(-value) as p from events where value > 1) group by event_type""")
+from (select event_type, exp(-abs(value) - 0.001) as p from events) group by event_type""")
 def cauchy_tiny_p(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").where("value > 1").select("event_type", F.exp(-F.col("value")).alias("p"))
+    rows = _t(spark, sf_dir, "events").select("event_type", F.exp(-F.abs("value") - 0.001).alias("p"))
     return rows.groupBy(F.col("event_type").alias("annotation")).agg(F.round(F.log10(cauchy_statistic(F.col("p"))), 6).alias("log_t"))
 
 
@@ -127,15 +128,14 @@ def sumstats_cojo(spark, sf_dir):
     return out.withColumns({"FRQ": F.round("FRQ", 9), "P": F.round("P", 9)})
 
 
-@query("""with o as (select o_orderkey as snp, (o_totalprice - (select avg(o_totalprice) from orders)) / (select stddev_pop(o_totalprice) from orders) * 5 as z,
+@query("""with o as (select o_orderkey as snp, (o_totalprice - (select avg(o_totalprice) from orders)) / (select stddev_pop(o_totalprice) from orders) * 8 as z,
   cast(o_custkey * 10 as double) as n from orders)
-select snp, round(z, 6) as z, n from o where z * z < greatest(0.001 * (select max(n) from o), 20)""")
+select snp, round(z, 6) as z, n from o where z * z < greatest(0.001 * (select max(n) from o), 80)""")
 def chisq_filter(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     m = o.agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s"))
-    rows = o.crossJoin(F.broadcast(m)).select(F.col("o_orderkey").alias("snp"), ((F.col("o_totalprice") - F.col("m")) / F.col("s") * 5).alias("Z"), (F.col("o_custkey") * 10).cast("double").alias("N"))
-    top = F.broadcast(rows.agg(F.greatest(0.001 * F.max("N"), F.lit(20.0)).alias("t")))
-    return rows.crossJoin(top).where("Z * Z < t").select("snp", F.round("Z", 6).alias("z"), F.col("N").alias("n"))
+    rows = o.crossJoin(F.broadcast(m)).select(F.col("o_orderkey").alias("snp"), ((F.col("o_totalprice") - F.col("m")) / F.col("s") * 8).alias("Z"), (F.col("o_custkey") * 10).cast("double").alias("N"))
+    return sumstats.chisq_filter(rows).select("snp", F.round("Z", 6).alias("z"), F.col("N").alias("n"))
 
 
 @query("""select count(*) as n_snps, round(avg(z * z), 6) as mean_chisq, round(median(z * z) / 0.4549, 6) as lambda_gc, round(max(z * z), 6) as max_chisq,
@@ -215,18 +215,18 @@ def rank_mean_sparse(spark, sf_dir):
 @query(f"""with {_EXPR} select gene, round(count(*) filter (value <> 0) / (select count(distinct spot) from x) + 1e-12, 9) as frac from x group by gene""")
 def expressed_share(spark, sf_dir):
     x = _expr(spark, sf_dir)
-    n = x.agg(F.count_distinct("spot").alias("n"))
-    return x.groupBy("gene").agg(F.count_if(F.col("value") != 0).alias("k")).crossJoin(F.broadcast(n)).select("gene", F.round(F.col("k") / F.col("n") + 1e-12, 9).alias("frac"))
+    n = x.agg(F.count_distinct("spot")).first()[0]
+    return ranks.expressed_share(x, n).select("gene", F.round("frac", 9).alias("frac"))
 
 
-@query("""with h as (select p_type as species_gene, p_brand as human_gene, p_partkey as seq from part),
+@query("""with h as (select p_type as species_gene, p_brand as human_gene, p_partkey as seq from part where p_type in (select p_type from part where p_size <= 5)),
 a as (select * from h qualify row_number() over (partition by species_gene order by seq, human_gene) = 1),
 b as (select * from a qualify row_number() over (partition by human_gene order by seq, species_gene) = 1)
-select human_gene as gene, count(*) as n, round(sum(p_retailprice), 2) as value from part join b on p_type = species_gene group by 1""")
+select human_gene as gene, count(*) as n, round(sum(p_retailprice), 2) as value from part join b on p_type = species_gene where p_size <= 5 group by 1""")
 def homolog_map(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     pairs = p.select(F.col("p_type").alias("species_gene"), F.col("p_brand").alias("human_gene"), F.col("p_partkey").alias("seq"))
-    rows = expression.to_human_genes(p.select(F.col("p_type").alias("gene"), F.col("p_retailprice").alias("value")), pairs, least=0)
+    rows = expression.to_human_genes(p.where("p_size <= 5").select(F.col("p_type").alias("gene"), F.col("p_retailprice").alias("value")), pairs, least=0)
     return rows.groupBy("gene").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
@@ -242,6 +242,18 @@ def pearson_residuals(spark, sf_dir):
     return expression.pearson_residuals(_expr(spark, sf_dir)).select("spot", "gene", F.round("value", 6).alias("value"))
 
 
+@query(f"""with {_EXPR}, pick as (select gene from x group by gene having gene % 50 = 0), t as (select sum(value) as t from x),
+g as (select gene, sum(value) as g from x join pick using (gene) group by gene), s as (select spot, sum(value) as s from x group by spot),
+d as (select s.spot, g.gene, coalesce(x.value, 0) as value, g.g * s.s / t.t as m from s cross join g cross join t left join x on x.spot = s.spot and x.gene = g.gene)
+select spot, gene, round(greatest(least((value - m) / sqrt(m + m * m / 100), 10), -10), 6) as value from d""")
+def residuals_dense(spark, sf_dir):
+    """Each fiftieth gene is chosen, as variable ones would be; all spots and their zeros."""
+    x = _expr(spark, sf_dir)
+    genes = x.where("gene % 50 = 0").select("gene").distinct()
+    out = expression.dense_residuals(x, genes, x.select("sample", "spot").distinct())
+    return out.select("spot", "gene", F.round("value", 6).alias("value"))
+
+
 @query("""with s as (select event_id, event_type, user_id from events), k as (select *, count(*) over (partition by user_id) as n from s)
 select event_id, user_id from k where n >= 60""")
 def annotation_filter(spark, sf_dir):
@@ -385,8 +397,8 @@ def gene_specificity(spark, sf_dir):
 
 @query(f"with {_GSS} select gene, round(sum(score) / (select count(*) from embeddings), 5) as avg_mkscore from s where score > 0 group by gene")
 def mean_specificity(spark, sf_dir):
-    n = _t(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
-    return _gss(spark, sf_dir).groupBy("gene").agg(F.sum("score").alias("x")).crossJoin(F.broadcast(n)).select("gene", F.round(F.col("x") / F.col("n"), 5).alias("avg_mkscore"))
+    out = gss.mean_score(_gss(spark, sf_dir), _t(spark, sf_dir, "embeddings").count())
+    return out.select("gene", F.round("avg_mkscore", 5).alias("avg_mkscore"))
 
 
 @query(f"""with {_KNN.format(k=6)}, a as (select src, dst, 1.0 as w from e where d > 0 union all select pos, pos, 1.0 from p),
@@ -459,15 +471,6 @@ def allele_stats(spark, sf_dir):
     return s.select("idx", F.round("freq", 9).alias("freq"), F.round("maf", 9).alias("maf"), F.col("het_miss").cast("long").alias("het_miss"))
 
 
-@query("""with s as (select o_orderkey as idx, round(o_orderkey * 0.01 + (o_orderkey % 7) * 0.0005, 4) as cm from orders),
-l as (select a.idx, (select count(*) from s b where b.cm < a.cm - 1) as left_edge from s a where a.idx % 100 = 0)
-select idx, left_edge from l""")
-def ld_window_left(spark, sf_dir):
-    """The left edge of each hundredth variant's window, as the SQL has it, all on one chromosome; every variant's is
-    in ``ld_window_left_all``."""
-    return ld.left_edges(_placed(spark, sf_dir, F.lit(1)), 10000).where("idx % 100 = 0").select("idx", F.col("left").alias("left_edge"))
-
-
 def _placed(spark, sf_dir, chromosome):
     # in ten-thousandths of a centimorgan, which doubles hold exactly
     place = F.col("o_orderkey") * 100 + F.col("o_orderkey") % 7 * 5
@@ -476,7 +479,7 @@ def _placed(spark, sf_dir, chromosome):
 
 @query("""with s as (select o_orderkey as idx, o_orderkey % 22 + 1 as chr, o_orderkey * 100 + o_orderkey % 7 * 5 as k from orders)
 select chr, idx, count(*) over (partition by chr order by k range between unbounded preceding and 10001 preceding) as left_edge from s""")
-def ld_window_left_all(spark, sf_dir):
+def ld_window_left(spark, sf_dir):
     """The left edge of every variant's window, by the expression of ``ld.band``."""
     return ld.left_edges(_placed(spark, sf_dir, F.col("o_orderkey") % 22 + 1), 10000).select("chr", "idx", F.col("left").alias("left_edge"))
 
@@ -542,16 +545,8 @@ def gene_table(spark, sf_dir):
     return out.select("gene", "annotation", F.round("median_gss", 9).alias("median_gss"), F.round("pcc", 6).alias("pcc"))
 
 
-@query("""select l_orderkey, l_linenumber, l_partkey, least(l_extendedprice, q) as price from lineitem, (select quantile_cont(l_extendedprice, 0.99) as q from lineitem)
-where l_quantity > 49""")
-def winsorize(spark, sf_dir):
-    rows = diagnose.winsorize(_t(spark, sf_dir, "lineitem"), "l_extendedprice", 0.99).where("l_quantity > 49")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("price"))
-
-
 @query("select l_orderkey, l_linenumber, l_partkey, least(l_extendedprice, q) as price from lineitem, (select quantile_cont(l_extendedprice, 0.99) as q from lineitem)")
-def winsorize_all(spark, sf_dir):
-    """Every row; ``winsorize`` keeps those that its SQL keeps."""
+def winsorize(spark, sf_dir):
     rows = diagnose.winsorize(_t(spark, sf_dir, "lineitem"), "l_extendedprice", 0.99)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("price"))
 
@@ -608,17 +603,25 @@ def cauchy_joined(spark, sf_dir):
 @query()
 def z_from_p(spark, sf_dir):
     p = F.exp(-F.col("value") / 10)
-    return _t(spark, sf_dir, "events").select("event_id", p.alias("p"), (norm_isf(p / 2) * F.when(F.col("user_id") % 2 == 0, -1).otherwise(1)).alias("z"))
+    return _t(spark, sf_dir, "events").select("event_id", p.alias("p"), signed_z(p, F.when(F.col("user_id") % 2 == 0, -1.0).otherwise(1.0)).alias("z"))
 
 
-@query()
+#: The upper tail of a normal variable x > 0 by the series of its density times x ** (2 k + 1) over odd factorials.
+_TAIL = """case when x > 9 then 0 when x < 1e-9 then 0.5 else 0.5 - exp(-x * x / 2) / sqrt(2 * pi()) *
+  list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(x) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))))) end"""
+
+
+@query(f"""with e as (select event_id, value / 20 as z, abs(value / 20) as x from events)
+select event_id, round(z, 9) as z, round(greatest(2 * ({_TAIL}), 0), 9) as p from e""")
 def p_from_z(spark, sf_dir):
-    return diagnose.with_p(_t(spark, sf_dir, "events").select("event_id", (F.col("value") / 20).alias("z")))
+    out = diagnose.with_p(_t(spark, sf_dir, "events").select("event_id", (F.col("value") / 20).alias("z")))
+    return out.select("event_id", F.round("z", 9).alias("z"), F.round("p", 9).alias("p"))
 
 
-@query()
+@query(f"""with e as (select event_id, value, abs(value / 100) as x from events)
+select event_id, round(case when value < 0 then 1 - ({_TAIL}) else {_TAIL} end, 9) as p from e""")
 def normal_tail(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", norm_sf(F.col("value") / 100).alias("p"))
+    return _t(spark, sf_dir, "events").select("event_id", F.round(norm_sf(F.col("value") / 100), 9).alias("p"))
 
 
 @query()
@@ -626,7 +629,8 @@ def pca_latent(spark, sf_dir):
     return expression.pca(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 8, "embedding").select("vec_id", F.transform("latent", lambda x: F.round(F.abs(x), 6)).alias("latent"))
 
 
-@query()
+@query(f"""with {_VALUES}, m as (select spot, gene, score, avg(score) over (partition by gene) as m, stddev_samp(score) over (partition by gene) as s, max(score) over (partition by gene) as top from v)
+select spot, gene, round(least((score - m) / case when s > 0 then s else 1 end, 10), 6) as value from m where top > 0""")
 def scaled_expression(spark, sf_dir):
     x = _gene_values(spark, sf_dir)
     spots = _t(spark, sf_dir, "embeddings").select(F.lit("s").alias("sample"), F.col("vec_id").alias("spot"))

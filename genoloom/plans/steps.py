@@ -50,10 +50,14 @@ def find_latent(spark: SparkSession, c: C.LatentConfig) -> None:
         spots = expression.keep_annotated(spots.withColumn("annotation", F.col(c.annotation)))
         rows = rows.join(spots.select("sample", "spot"), ["sample", "spot"], "left_semi")
     n = spots.count()
-    values = expression.pearson_residuals(rows) if c.pearson_residuals else expression.normalize_log1p(rows) if c.data_layer in ("count", "counts") else rows
-    top = expression.variable_genes(values, n, c.feat_cell)
-    values = values.join(F.broadcast(top.select("gene")), "gene", "left_semi")
-    scaled = expression.scale(values, expression.gene_moments(values, n), spots)
+    if c.pearson_residuals:  # genes by their counts; residuals are not scaled
+        top = expression.variable_genes(rows, n, c.feat_cell)
+        scaled = expression.dense_residuals(rows, top, spots)
+    else:
+        values = expression.normalize_log1p(rows) if c.data_layer in ("count", "counts", "X") else rows
+        top = expression.variable_genes(values, n, c.feat_cell)
+        values = values.join(F.broadcast(top.select("gene")), "gene", "left_semi")
+        scaled = expression.scale(values, expression.gene_moments(values, n), spots)
     vectors = scaled.groupBy("sample", "spot").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene", "value"))), lambda x: x["value"]).alias("vec"))
     width = top.count()
     out = expression.pca(vectors, min(c.n_comps, width, max(1, n - 1))).select("sample", "spot", F.lit("latent_PCA").alias("rep"), F.col("latent").alias("vec"))

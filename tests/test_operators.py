@@ -207,7 +207,7 @@ def test_left_edges(spark, window):
 def test_every_variant_has_a_left_edge(spark, data):
     orders = [r[0] for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect()]
     place = {i: i * 100 + i % 7 * 5 for i in orders}
-    got = {r["idx"]: r["left_edge"] for r in QUERIES["ld_window_left_all"](spark, data).collect()}
+    got = {r["idx"]: r["left_edge"] for r in QUERIES["ld_window_left"](spark, data).collect()}
     assert got == {i: sum(j % 22 == i % 22 and place[j] < place[i] - 10000 for j in orders) for i in orders}
 
 
@@ -301,7 +301,7 @@ def test_every_row_is_winsorized(spark, data):
     rows = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice").toPandas()
     top = np.quantile(rows["l_extendedprice"].astype(float), 0.99)
     want = sorted(zip(rows["l_orderkey"], rows["l_linenumber"], np.minimum(rows["l_extendedprice"].astype(float), top), strict=True))
-    got = sorted((r["l_orderkey"], r["l_linenumber"], float(r["price"])) for r in QUERIES["winsorize_all"](spark, data).collect())
+    got = sorted((r["l_orderkey"], r["l_linenumber"], float(r["price"])) for r in QUERIES["winsorize"](spark, data).collect())
     assert len(got) == len(want)
     assert all(a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-6) for a, b in zip(got, want, strict=True))
 
@@ -319,3 +319,25 @@ def test_empty_tables(spark):
     assert combine.cauchy_combination(e).count() == 0
     assert intervals.snp_to_gene(frame(spark, [], "snp long, chrom string, bp long"), frame(spark, [], "gene string, chrom string, win_start long, win_end long, tss long, seq int")).count() == 0
     assert neighbors.knn_spatial(frame(spark, [], "sample string, annotation string, pos long, sx double, sy double"), 3).count() == 0
+
+
+def test_homologs_of_genes_that_are_there(spark):
+    pairs = spark.createDataFrame([("m1", "H1", 1), ("m2", "H1", 2), ("m3", "H3", 3), ("m3", "H4", 4)], "species_gene string, human_gene string, seq int")
+    rows = spark.createDataFrame([("s", "a", "m2", 1.0), ("s", "a", "m3", 2.0)], "sample string, spot string, gene string, value double")
+    got = {r["gene"]: r["value"] for r in expression.to_human_genes(rows, pairs, least=0).collect()}
+    assert got == {"H1": 1.0, "H3": 2.0}
+
+
+def test_neighbours_on_a_given_grid_lose_no_spot(spark):
+    spots = spark.createDataFrame([("s", "a", i, float(i * i % 37), float(i % 7)) for i in range(31)] + [("s", "a", 99, 1e6, 0.0)], "sample string, annotation string, pos int, sx double, sy double")
+    key = lambda df: sorted((r["src"], r["rank"], r["dst"]) for r in df.collect())
+    assert key(neighbors.knn_spatial(spots, 5, cell=64.0)) == key(neighbors.knn_exact(spots, 5))
+
+
+def test_dense_residuals_have_every_cell(spark):
+    rows = spark.createDataFrame([("s", "a", "g", 4.0), ("s", "a", "h", 1.0), ("s", "b", "h", 5.0)], "sample string, spot string, gene string, value double")
+    spots = spark.createDataFrame([("s", x) for x in "abc"], "sample string, spot string")
+    got = {(r["spot"], r["gene"]): r["value"] for r in expression.dense_residuals(rows, spark.createDataFrame([("g",)], "gene string"), spots).collect()}
+    mean = {"a": 4 * 5 / 10, "b": 4 * 5 / 10}
+    want = {(x, "g"): (v - mean[x]) / (mean[x] + mean[x] ** 2 / 100) ** 0.5 for x, v in (("a", 4), ("b", 0))} | {("c", "g"): 0.0}
+    assert got == pytest.approx(want)
