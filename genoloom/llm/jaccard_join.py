@@ -292,3 +292,18 @@ def jaccard_join(docs: DataFrame, *, width: int = 3, threshold: tuple[int, int]
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``: 3-word shingles, Jaccard similarity 0.9."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: By all pairs that share a shingle, and all that a document reaches: for the small sizes.
+OP4_SQL = r"""
+with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\f\r]+') as w from documents),
+s as materialized (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from w),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+o as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+l as materialized (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+r as (select doc_id as a, doc_id as b from n union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as c from r group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.c, d.doc_id) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join c on c.a = d.doc_id
+"""

@@ -124,3 +124,17 @@ def near_dups(vectors: DataFrame, *, cosine: float = 0.98, nearest: int = 8, sha
 
 def op8_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: By all pairs of a label, and all that a vector reaches: for the small sizes.
+OP8_SQL = """
+with recursive v as materialized (select vec_id, label, embedding::double[] as e from embeddings where label is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id <> y.vec_id
+  where case when len(x.e) = len(y.e) then list_cosine_similarity(x.e, y.e) >= 0.98 else false end),
+k as (select a, count(*) as k from l group by a),
+r as (select vec_id as a, vec_id as b from v union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as c from r group by a)
+select d.vec_id, coalesce(k, 0) as n_links, coalesce(c, d.vec_id) as component_id, d.vec_id = coalesce(c, d.vec_id) as kept
+from embeddings d left join k on k.a = d.vec_id left join c on c.a = d.vec_id
+"""

@@ -6,10 +6,10 @@ from .chat import OP1_SQL, op1_chat
 from .decontaminate import op10_decontaminate
 from .gru_lm import op9_gru_lm
 from .html_text import OP5_SQL, op5_html_text
-from .jaccard_join import op4_jaccard_join
+from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .language import op3_language_id
 from .pieces import op2_pieces
-from .pivot_dedup import op8_pivot_dedup
+from .pivot_dedup import OP8_SQL, op8_pivot_dedup
 from .quality import op6_quality
 from .url_filter import op7_url_filter
 
@@ -28,5 +28,7 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_chat": OP1_SQL,
+    "op4_jaccard_join": OP4_SQL,
     "op5_html_text": OP5_SQL,
+    "op8_pivot_dedup": OP8_SQL,
 }

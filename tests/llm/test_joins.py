@@ -121,3 +121,16 @@ def test_same_as_all_cosines(spark, block):
     if found == true:
         assert {i: r["component_id"] for i, r in got.items()} == {i: find(parent, i) for i in parent}
     assert near_dups(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op4_jaccard_join", "op8_pivot_dedup"])
+def test_same_as_sql(spark, data, name):
+    import duckdb
+
+    from genoloom.llm.queries import ORACLE, QUERIES
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    want = c.sql(ORACLE[name])
+    assert sorted(map(tuple, QUERIES[name](spark, data).select(*want.columns).collect())) == sorted(want.fetchall())
