@@ -157,18 +157,33 @@ def baseline(weights: DataFrame) -> DataFrame:
     return weights.groupBy("chr", "idx").agg(F.sum(F.when(F.col("gene").isNotNull(), F.col("w")).otherwise(0.0)).alias("all_gene"), F.sum("w").alias("base"))
 
 
-def annotation_scores(weights: DataFrame, gss: DataFrame, clamp: float | None = None) -> DataFrame:
-    """(chr, idx, spot, l2): weights by gene times each spot's scores: a sparse product as a join and a sum."""
-    l2 = F.sum(F.col("w") * F.col("score"))
-    return weights.where("gene is not null").join(gss.select("gene", "spot", "score"), "gene").groupBy("chr", "idx", "spot").agg((F.least(l2, F.lit(clamp)) if clamp else l2).alias("l2"))
-
-
-def chunked_scores(scores: DataFrame, spots: DataFrame) -> DataFrame:
-    """(chr, idx, chunk, l2 array): a row a variant and chunk of spots, in the order of ``spots`` (spot, chunk, seq);
-    zeros where a spot has none."""
-    lists = spots.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "spot"))), lambda x: x["spot"]).alias("spots"))
-    m = scores.join(spots.select("spot", "chunk"), "spot").groupBy("chr", "idx", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("spot", "l2"))).alias("m"))
-    return m.join(lists, "chunk").select("chr", "idx", "chunk", F.transform("spots", lambda s: F.coalesce(F.element_at("m", s), F.lit(0.0)).cast("float")).alias("l2"))
+def annotation_chunks(weights: DataFrame, gss: DataFrame, spots: DataFrame, clamp: float | None = None, block: int = 2048) -> DataFrame:
+    """(chr, idx, chunk, l2 array): each variant's weights by gene times each spot's scores, a row a variant and chunk
+    of ``spots`` (spot, chunk, seq) in their order, zeros where a spot has none.
+
+    A sparse product in blocks: a gene's scores in a chunk are one row, its weights in a block of variants another;
+    they meet by gene, and a (block, chunk) is one matrix product.  Variants by spots are never rows.
+    """
+    placed = spots.withColumn("at", F.row_number().over(W.partitionBy("chunk").orderBy("seq")) - 1)
+    sizes = spots.groupBy("chunk").agg(F.count("*").cast("int").alias("width"))
+    packed = gss.join(placed, "spot").groupBy("gene", "chunk").agg(F.collect_list(F.struct("at", F.col("score").cast("double").alias("s"))).alias("s"))
+    packed = packed.join(sizes, "chunk").select("gene", "chunk", "width", F.col("s.at").alias("at"), F.col("s.s").alias("s"))
+    listed = weights.where("gene is not null").withColumn("blk", F.floor(F.col("idx") / block))
+    listed = listed.groupBy("chr", "blk", "gene").agg(F.collect_list(F.struct("idx", F.col("w").cast("double").alias("w"))).alias("w"))
+    rows = listed.select("chr", "blk", "gene", F.col("w.idx").alias("idx"), F.col("w.w").alias("w")).join(packed, "gene")
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("gene")
+        idx = np.unique(np.concatenate(pdf["idx"].to_list()))
+        left, right = np.zeros((len(idx), len(pdf))), np.zeros((len(pdf), int(pdf["width"].iloc[0])))
+        for k, (i, w, at, s) in enumerate(zip(pdf["idx"], pdf["w"], pdf["at"], pdf["s"], strict=True)):
+            np.add.at(left[:, k], np.searchsorted(idx, i), w)
+            np.add.at(right[k], at, s)
+        l2 = left @ right if clamp is None else np.minimum(left @ right, clamp)
+        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "idx": idx, "chunk": pdf["chunk"].iloc[0], "l2": list(l2)})
+
+    types = dict(rows.dtypes)
+    return rows.groupBy("chr", "blk", "chunk").applyInPandas(product, f"chr {types['chr']}, idx {dict(weights.dtypes)['idx']}, chunk {types['chunk']}, l2 array<double>")
 
 
 def regression_weights(snps: DataFrame, keep: DataFrame | None, base: DataFrame | None = None, **band_options) -> DataFrame:

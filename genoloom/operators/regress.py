@@ -19,8 +19,8 @@ def block_of(i, n, blocks: int):
     return F.floor(((i + 1) * blocks - 1) / n)
 
 
-def with_blocks(rows: DataFrame, order: list[str], blocks: int) -> DataFrame:
-    """Jackknife blocks over all rows in ``order``: numbered without bringing them to one task.
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``seq``, their number from 0 in ``order``, and ``total``, without bringing them to one task.
 
     Rows are dealt by ranges of the order and sorted there; a range's first number is the count of those before.
     """
@@ -29,9 +29,15 @@ def with_blocks(rows: DataFrame, order: list[str], blocks: int) -> DataFrame:
     local = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     parts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = parts.withColumn("_b", F.sum("_n").over(W.orderBy("_p")) - F.col("_n"))  # a row a partition
-    total = parts.agg(F.sum("_n").alias("_t"))
+    total = parts.agg(F.sum("_n").alias("total"))
     out = local.join(F.broadcast(before.select("_p", "_b")), "_p").crossJoin(F.broadcast(total))
-    return out.withColumn("block", block_of(F.col("_b") + F.col("_k") - 1, F.col("_t"), blocks)).drop("_p", "_k", "_b", "_t")
+    return out.withColumn("seq", F.col("_b") + F.col("_k") - 1).drop("_p", "_k", "_b")
+
+
+def with_blocks(rows: DataFrame, order: list[str], blocks: int) -> DataFrame:
+    """Jackknife blocks over all rows in ``order``."""
+    out = numbered(rows, order)
+    return out.withColumn("block", block_of(F.col("seq"), F.col("total"), blocks)).drop("seq", "total")
 
 
 def regression_rows(sumstats: DataFrame, baseline: DataFrame, weights: DataFrame, blocks: int = 200) -> DataFrame:
@@ -42,83 +48,100 @@ def regression_rows(sumstats: DataFrame, baseline: DataFrame, weights: DataFrame
     return with_blocks(rows.crossJoin(F.broadcast(mean)), ["idx"], blocks)
 
 
-def spatial_ldsc(rows: DataFrame, ld: DataFrame, blocks: int = 200) -> DataFrame:
+def _sides(pdf: pd.DataFrame, keys: list[str]):
+    """The spots' LD of a group's variants, and each trait's rows of it: (key values, rows of the matrix, trait)."""
+    x = np.stack(pdf["l2"].to_list()).astype(float)
+    flat = pd.DataFrame([{**t, "_row": i} for i, ts in enumerate(pdf["t"]) for t in ts])
+    whose = list(zip(*(flat[k] for k in keys), strict=True)) if keys else [()] * len(flat)
+    for key, at in pd.Series(range(len(flat))).groupby(pd.Series(whose, dtype=object), sort=False):
+        t = flat.iloc[at.to_numpy()]
+        yield key, x[t["_row"].to_numpy()], t
+
+
+def _block_sums(x: np.ndarray, t: pd.DataFrame, h: np.ndarray):
+    """(block, sums): by spot the weighted normal equations, p * p and p numbers."""
+    base = np.stack(t["base"].to_list()).astype(float).reshape(len(t), -1)
+    n, chi, wl, nbar = (t[c].to_numpy(float)[:, None] for c in ("n", "chisq", "w_ld", "nbar"))
+    full = np.maximum(x + base.sum(1, keepdims=True), 1)
+    w2 = 1 / (2 * (1 + h[None] * n / M * full) ** 2) / np.maximum(wl, 1)
+    rest = np.hstack([base * n / nbar, np.ones_like(n)])  # p - 1 columns
+    p, blocks = rest.shape[1] + 1, t["block"].to_numpy()
+    for block in np.unique(blocks):
+        at = blocks == block
+        w, z, r, c = w2[at], x[at], rest[at], chi[at]
+        xtx, xty = np.empty((x.shape[1], p, p)), np.empty((x.shape[1], p))
+        xtx[:, 0, 0] = (w * z * z).sum(0)
+        xtx[:, 0, 1:] = xtx[:, 1:, 0] = (w * z).T @ r
+        xtx[:, 1:, 1:] = np.einsum("vs,va,vb->sab", w, r, r, optimize=True)
+        xty[:, 0] = (w * z * c).sum(0)
+        xty[:, 1:] = (w * c).T @ r
+        yield int(block), np.concatenate([xtx.reshape(len(xtx), -1), xty], 1)
+
+
+def spatial_ldsc(rows: DataFrame, ld: DataFrame, spots: DataFrame, slice_size: int = 4096) -> DataFrame:
     """(keys..., spot, beta, se, z, p): a weighted regression of chi-squares for each spot.
 
-    ``rows``: as from ``regression_rows``, with any key columns (trait) besides; ``ld``: (snp, chunk, spots array,
-    l2 array), a row a variant and chunk of spots.  Design: the spot's LD, baseline columns times N over its mean, and
-    an intercept; both sides times w = sqrt(het * over-counting) with
-    h = clip(M (mean chisq - 1) / mean(x N), 0, 1), x the LD of spot and baselines.
+    ``rows``: as from ``regression_rows``, with any key columns (trait) besides, all traits at once; ``ld``: (snp,
+    chunk, l2 array), a row a variant and chunk of spots; ``spots``: (chunk, spots array), the names in that order.
+    Design: the spot's LD, baseline columns times N over its mean, and an intercept; both sides times
+    w = sqrt(het * over-counting) with h = clip(M (mean chisq - 1) / mean(x N), 0, 1), x the LD of spot and baselines.
 
-    The matrix of variants by spots stays in arrays: each task adds up, for a chunk, its variants' block sums by
-    matrix products; sums of sums are the only shuffle, and jackknife runs on ``blocks`` rows a spot.  A spot whose
-    normal equations are singular is left out.
+    The matrix of variants by spots stays in arrays.  It meets the traits once, a variant's traits in one row, and is
+    kept dealt by chunk and slice of ``slice_size`` neighbouring variants, whatever their number; a slice gives a
+    trait's sums for the block or few that it touches, by matrix products.  Only sums go further: one row a trait,
+    chunk and block reaches the jackknife.  A spot whose normal equations are singular is left out.
     """
     keys = [c for c in rows.columns if c not in ("snp", "idx", "block", "chisq", "n", "nbar", "base", "w_ld")]
-    joined = rows.join(ld, "snp")
-    types = dict(joined.dtypes)
-    some = rows.select(F.size("base").alias("k")).first()
-    width = some["k"] + 2 if some else 2
-
-    def sums_of_all(batches):
-        for pdf in batches:
-            out = []
-            for key, g in pdf.groupby([*keys, "chunk"], sort=False):
-                x, base, n = np.stack(g["l2"].to_list()).astype(float), np.stack(g["base"].to_list()).astype(float), g["n"].to_numpy(float)
-                total = ((x + base.sum(1)[:, None]) * n[:, None]).sum(0)
-                out.append((*(key if isinstance(key, tuple) else (key,)), total.tolist(), float(g["chisq"].sum()), len(g)))
-            yield pd.DataFrame(out, columns=[*keys, "chunk", "v", "c", "m"])
-
-    head = ", ".join(f"{c} {types[c]}" for c in [*keys, "chunk"])
-    part = joined.select(*keys, "chunk", "l2", "base", "n", "chisq").mapInPandas(sums_of_all, f"{head}, v array<double>, c double, m long")
-    each = part.select(*keys, "chunk", "c", "m", F.posexplode("v").alias("k", "x"))  # a row a batch and spot, not a variant
+    types = dict(rows.dtypes)
+    place = numbered(rows.select("snp", "idx").distinct(), ["idx", "snp"]).select("snp", F.floor(F.col("seq") / slice_size).alias("slice"))
+    values = F.struct(*keys, "block", *[F.col(c).cast("double").alias(c) for c in ("chisq", "n", "nbar", "w_ld")], F.col("base").cast("array<double>").alias("base"))
+    packed = rows.groupBy("snp").agg(F.collect_list(values).alias("t")).join(place, "snp")  # a struct a trait
+    joined = cut(ld.select("snp", "chunk", "l2").join(packed, "snp").select("chunk", "slice", "l2", "t").repartition("chunk", "slice"))
+    head = "".join(f"{c} {types[c]}, " for c in keys) + f"chunk {dict(ld.dtypes)['chunk']}"
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, x, t in _sides(pdf, keys):
+            full = x + np.stack(t["base"].to_list()).astype(float).reshape(len(t), -1).sum(1)[:, None]
+            out.append((*key, pdf["chunk"].iloc[0], pdf["slice"].iloc[0], (full * t["n"].to_numpy(float)[:, None]).sum(0), t["chisq"].sum(), len(t)))
+        return pd.DataFrame(out, columns=[*keys, "chunk", "slice", "v", "c", "m"])
+
+    part = cut(joined.groupBy("chunk", "slice").applyInPandas(totals, f"{head}, slice long, v array<double>, c double, m long"))
+    each = part.select(*keys, "chunk", "c", "m", F.posexplode("v").alias("k", "x"))  # a row a slice and spot, not a variant
     h = each.groupBy(*keys, "chunk", "k").agg((F.sum("c") / F.sum("m")).alias("mc"), (F.sum("x") / F.sum("m")).alias("mx"))
     h = h.withColumn("h", F.least(F.greatest(M * (F.col("mc") - 1) / F.col("mx"), F.lit(0.0)), F.lit(1.0)))
     h = h.groupBy(*keys, "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda v: v["h"]).alias("h"))
-    joined = joined.join(h, [*keys, "chunk"]).select(*keys, "chunk", "block", "chisq", "n", "nbar", "base", "w_ld", "spots", "l2", "h")
-    types |= dict(joined.dtypes)
-
-    def sums(batches):
-        for pdf in batches:
-            out = []
-            for key, g in pdf.groupby([*keys, "chunk", "block"], sort=False):
-                x = np.array([np.asarray(v, float) for v in g["l2"]])  # variants by spots
-                base = np.array([np.asarray(v, float) for v in g["base"]])
-                n, chi, wl = (g[c].to_numpy(float)[:, None] for c in ("n", "chisq", "w_ld"))
-                hh = np.asarray(g["h"].iloc[0], float)[None, :]
-                full = np.maximum(x + base.sum(1, keepdims=True), 1)
-                w2 = 1 / (2 * (1 + hh * n / M * full) ** 2) / np.maximum(wl, 1)
-                rest = np.hstack([base * n / g["nbar"].to_numpy(float)[:, None], np.ones_like(n)])  # p - 1 columns
-                p = rest.shape[1] + 1
-                xtx = np.empty((x.shape[1], p, p))
-                xty = np.empty((x.shape[1], p))
-                xtx[:, 0, 0] = (w2 * x * x).sum(0)
-                xtx[:, 0, 1:] = xtx[:, 1:, 0] = (w2 * x).T @ rest
-                xtx[:, 1:, 1:] = np.einsum("vs,va,vb->sab", w2, rest, rest, optimize=True)
-                xty[:, 0] = (w2 * x * chi).sum(0)
-                xty[:, 1:] = (w2 * chi).T @ rest
-                both = np.concatenate([xtx.reshape(len(xtx), -1), xty], 1)
-                key = key if isinstance(key, tuple) else (key,)
-                out += [(*key, s, v.tolist(), float(g["nbar"].iloc[0])) for s, v in zip(g["spots"].iloc[0], both, strict=True)]
-            yield pd.DataFrame(out, columns=[*keys, "chunk", "block", "spot", "v", "nbar"])
-
-    parts = joined.mapInPandas(sums, f"{head}, block long, spot string, v array<double>, nbar double")
-    places = range(width * width + width)
-    added = parts.groupBy(*keys, "spot", "block", "nbar").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in places]).select(*keys, "spot", "block", "nbar", F.array(*[f"v{i}" for i in places]).alias("v"))
-    head = ", ".join(f"{c} {types[c]}" for c in keys)
+    h = part.select(*keys, "chunk", "slice").join(h, [*keys, "chunk"])  # to each slice
+
+    def sums(pdf: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(pdf):
+            of = {tuple(r[: len(keys)]): np.asarray(r[-1], float) for r in shares[[*keys, "h"]].itertuples(index=False, name=None)}
+            for key, x, t in _sides(pdf, keys):
+                out += [(*key, pdf["chunk"].iloc[0], b, v.ravel(), x.shape[1], t["nbar"].iloc[0]) for b, v in _block_sums(x, t, of[tuple(key)])]
+        return pd.DataFrame(out, columns=[*keys, "chunk", "block", "v", "s", "nbar"])
+
+    shape = f"{head}, block long, v array<double>, s int, nbar double"
+    parts = joined.groupBy("chunk", "slice").cogroup(h.groupBy("chunk", "slice")).applyInPandas(sums, shape)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.iloc[:1].copy()
+        out["v"] = [np.sum(np.stack(pdf["v"].to_list()), 0)]
+        return out
+
+    added = parts.groupBy(*keys, "chunk", "block").applyInPandas(add, shape)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.array([np.asarray(x, float) for x in pdf.sort_values("block")["v"]])
-        p = width
-        got = jackknife(v[:, : p * p].reshape(-1, p, p), v[:, p * p :])
-        cols = [*keys, "spot", "beta", "se"]
-        if got is None:
-            return pd.DataFrame(columns=cols)
-        est, se = got
-        nbar = pdf["nbar"].iloc[0]
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in keys), pdf["spot"].iloc[0], est[0] / nbar, se[0] / nbar]], columns=cols)
-
-    out = added.groupBy(*keys, "spot").applyInPandas(solve, (head + ", " if head else "") + "spot string, beta double, se double")
+        pdf = pdf.sort_values("block")
+        s, nbar = int(pdf["s"].iloc[0]), float(pdf["nbar"].iloc[0])
+        v = np.stack(pdf["v"].to_list()).reshape(len(pdf), s, -1)
+        p = int(round(((1 + 4 * v.shape[2]) ** 0.5 - 1) / 2))
+        found = [jackknife(v[:, k, : p * p].reshape(-1, p, p), v[:, k, p * p :]) for k in range(s)]
+        beta, se = ([None if f is None else float(f[i][0] / nbar) for f in found] for i in (0, 1))
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in keys), pdf["chunk"].iloc[0], beta, se]], columns=[*keys, "chunk", "beta", "se"])
+
+    out = added.groupBy(*keys, "chunk").applyInPandas(solve, f"{head}, beta array<double>, se array<double>")
+    out = out.join(spots.select("chunk", F.col("spots").cast("array<string>").alias("spot")), "chunk").select(*keys, F.inline(F.arrays_zip("spot", "beta", "se")))
     z = out.withColumn("z", F.col("beta") / F.col("se")).where("z is not null and not isnan(z)")
     return z.withColumn("p", F.greatest(F.least(norm_sf(F.col("z")), F.lit(1.0)), F.lit(1e-300)))
 

@@ -454,7 +454,9 @@ def _scores(spark, sf_dir):
 
 @query(f"with {_BANDED}, {_SCORES} select idx, spot, round(sum(w * score), 5) as l2 from w join sc using (gene) group by idx, spot")
 def annot_ld(spark, sf_dir):
-    return ld.annotation_scores(_weights(spark, sf_dir), _scores(spark, sf_dir)).select("idx", "spot", F.round("l2", 5).alias("l2"))
+    spots = spark.range(7).select(F.concat(F.lit("d"), "id").alias("spot"), F.lit(1).alias("chunk"), F.col("id").alias("seq"))
+    rows = ld.annotation_chunks(_weights(spark, sf_dir), _scores(spark, sf_dir), spots).select("idx", F.posexplode("l2").alias("k", "l2"))
+    return rows.where("l2 <> 0").select("idx", F.concat(F.lit("d"), "k").alias("spot"), F.round("l2", 5).alias("l2"))
 
 
 @query(f"""with {_SCORES}, c as (select 'g' || label as gene, count(*) as k from embeddings where label <> 9 group by 1)
@@ -508,8 +510,33 @@ def ldsc_spots(spark, sf_dir):
     base = e.select(F.col("vec_id").alias("snp"), F.col("vec_id").alias("idx"), F.array(F.lit(1.0) + F.abs(F.col("embedding")[9].cast("double")), F.lit(2.0) + F.col("label") % 3).alias("vals")).withColumnRenamed("vals", "base")
     weight = e.select(F.col("vec_id").alias("snp"), (1 + F.abs(F.col("embedding")[10].cast("double"))).alias("l2"))
     rows = regress.regression_rows(trait, base, weight, 20)
-    scores = e.select(F.col("vec_id").alias("snp"), F.lit(1).alias("chunk"), F.array(*[F.lit(f"d{k}") for k in range(8)]).alias("spots"), F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x).cast("float")).alias("l2"))
-    return regress.spatial_ldsc(rows, scores, 20)
+    return regress.spatial_ldsc(rows, *_sizes(e))
+
+
+def _sizes(e):
+    scores = e.select(F.col("vec_id").alias("snp"), F.lit(1).alias("chunk"), F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x).cast("float")).alias("l2"))
+    return scores, e.sparkSession.range(1).select(F.lit(1).alias("chunk"), F.array(*[F.lit(f"d{k}") for k in range(8)]).alias("spots"))
+
+
+@query("""with e as (select vec_id as snp, 1000.0 + vec_id % 50 as n, (1 + 8 * abs(embedding[9]::double)) ** 2 as y, greatest(1 + abs(embedding[11]::double), 1) as wl, embedding from embeddings),
+g as (select *, floor((row_number() over (order by snp) * 20 - 1) / count(*) over ()) as block, avg(n) over () as nbar from e),
+r as (select 'd' || (k - 1) as spot, block, nbar, n, y, wl, abs(embedding[k])::double as x from g, range(1, 9) t(k)),
+h as (select spot, least(greatest(10000 * (avg(y) - 1) / avg(x * n), 0), 1) as h from r group by spot),
+w as (select *, 1 / (2 * (1 + h * n / 10000 * greatest(x, 1)) ** 2) / wl as w from r join h using (spot)),
+s as (select spot, block, max(nbar) as nbar, sum(w * x * x) as a, sum(w * x) as b, sum(w) as c, sum(w * x * y) as d, sum(w * y) as f from w group by spot, block),
+t as (select *, sum(a) over v as ta, sum(b) over v as tb, sum(c) over v as tc, sum(d) over v as td, sum(f) over v as tf, count(*) over v as m from s window v as (partition by spot)),
+q as (select spot, nbar, m, m * (tc * td - tb * tf) / (ta * tc - tb * tb)
+  - (m - 1) * ((tc - c) * (td - d) - (tb - b) * (tf - f)) / ((ta - a) * (tc - c) - (tb - b) ** 2) as v from t),
+o as (select spot, avg(v) / max(nbar) as beta, sqrt(var_samp(v) / max(m)) / max(nbar) as se from q group by spot)
+select spot, round(beta, 9) as beta, round(se, 9) as se, round(beta / se, 5) as z from o""")
+def ldsc_simple(spark, sf_dir):
+    """As ``ldsc_spots`` without baseline columns: a spot's LD and an intercept, which have a closed form."""
+    e = _t(spark, sf_dir, "embeddings")
+    trait = e.select(F.col("vec_id").alias("snp"), (1 + 8 * F.abs(F.col("embedding")[8].cast("double"))).alias("z"), (1000 + F.col("vec_id") % 50).cast("double").alias("n"))
+    base = e.select(F.col("vec_id").alias("snp"), F.col("vec_id").alias("idx"), F.array().cast("array<double>").alias("base"))
+    weight = e.select(F.col("vec_id").alias("snp"), (1 + F.abs(F.col("embedding")[10].cast("double"))).alias("l2"))
+    out = regress.spatial_ldsc(regress.regression_rows(trait, base, weight, 20), *_sizes(e))
+    return out.select("spot", F.round("beta", 9).alias("beta"), F.round("se", 9).alias("se"), F.round("z", 5).alias("z"))
 
 
 # --- diagnosis ----------------------------------------------------------------------------------------------------

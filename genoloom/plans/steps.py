@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..operators import combine, diagnose, expression, gss, intervals, ld, neighbors, ranks, regress, sumstats
 from ..sources import plink, sinks, text
 from . import config as C
+from ..tables import cut
 from .report import manhattan, render, scatter
 
 
@@ -129,6 +129,8 @@ def generate_ldscore(spark: SparkSession, c: C.LDScoreConfig) -> None:
     base = ld.baseline(weights)
     sinks.write_table(base.join(name, ["chr", "idx"]), c.layout.baseline(c.sample_name), "chr")
     sinks.write_table(ld.regression_weights(panel, keep, base, **options).join(name, ["chr", "idx"]), c.layout.weights(c.sample_name), "chr")
+    kept = spark.read.parquet(c.layout.weights(c.sample_name)).select("chr", "idx", "l2")
+    sinks.write_weights(kept.join(snps.select("chr", "idx", "snp", "bp", "cm"), ["chr", "idx"]), c.layout.weights(c.sample_name) + "_text")
     if c.additional_baseline_annotation:
         extra = text.by_chromosome(spark, c.additional_baseline_annotation + "/baseline.{chr}.annot.gz", text.read_annotation, c.chromosomes())
         targets = name.join(extra, ["chr", "snp"]).select("chr", "idx", F.col("name").alias("target"), "value")
@@ -136,15 +138,22 @@ def generate_ldscore(spark: SparkSession, c: C.LDScoreConfig) -> None:
         if keep is not None:
             more = more.join(keep, ["chr", "idx"], "left_semi")
         sinks.write_table(more.join(name, ["chr", "idx"]), c.layout.baseline(c.sample_name) + "_extra", "chr")
-    order = spots.withColumn("seq", F.row_number().over(W.orderBy("spot")) - 1).withColumn("chunk", (F.floor(F.col("seq") / c.spots_per_chunk) + 1).cast("int"))
-    arrays = ld.chunked_scores(ld.annotation_scores(weights, scores), order).join(name, ["chr", "idx"])
-    half = F.lit(sinks.LARGEST_HALF).cast("float")
-    sinks.write_table(arrays.withColumn("l2", F.transform("l2", lambda x: F.greatest(F.least(x, half), -half))), c.layout.ldscore(c.sample_name), "chunk", "chr")
+    order = in_chunks(spots, c.spots_per_chunk)
+    sinks.write_scores(ld.annotation_chunks(weights, scores, order).join(name, ["chr", "idx"]), c.layout.ldscore(c.sample_name))
     sinks.write_table(order, c.layout.ldscore(c.sample_name) + "_spots")
+    common = ld.common(snps).select("chr", "idx")
+    genes = named.select("chr", "idx", "gene")
+    m = ld.m_values(genes, scores).join(ld.m_values(genes, scores, common).withColumnRenamed("m", "m_5_50"), ["chr", "spot"], "left")
+    sinks.write_table(m.na.fill(0.0, ["m_5_50"]), c.layout.ldscore(c.sample_name) + "_m", "chr")
+
+
+def in_chunks(spots: DataFrame, per_chunk: int) -> DataFrame:
+    """``spots`` (spot) with ``seq``, their number by name, and ``chunk``, from 1."""
+    return regress.numbered(spots, ["spot"]).drop("total").withColumn("chunk", (F.floor(F.col("seq") / per_chunk) + 1).cast("int"))
 
 
 def spatial_ldsc(spark: SparkSession, c: C.SpatialLDSCConfig) -> DataFrame:
-    """All traits in one job.  ``shared_snps``: variants that all traits have; else each trait has its own."""
+    """All traits in one pass over the LD scores.  ``shared_snps``: variants that all traits have; else each trait has its own."""
     base = spark.read.parquet(c.layout.baseline(c.sample_name))
     weights = text.read_weights(spark, c.w_file).select("snp", "l2") if c.w_file else spark.read.parquet(c.layout.weights(c.sample_name)).select("snp", "l2")
     base = base.select("snp", (F.col("chr").cast("long") * 1_000_000_000 + F.col("idx")).alias("idx"), F.array("all_gene", "base").alias("base"))
@@ -156,17 +165,19 @@ def spatial_ldsc(spark: SparkSession, c: C.SpatialLDSCConfig) -> DataFrame:
     if c.chunk_range:
         scores = scores.where(F.col("chunk").between(*c.chunk_range))
     order = spark.read.parquet(c.layout.ldscore(c.sample_name) + "_spots").groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "spot"))), lambda x: x["spot"].cast("string")).alias("spots"))
-    scores = scores.select("snp", "chunk", "l2").join(F.broadcast(order), "chunk")
     files = {t: sumstats.chisq_filter(text.read_sumstats(spark, p).withColumnRenamed("z", "Z").withColumnRenamed("n", "N"), c.chisq_max).withColumnRenamed("Z", "z").withColumnRenamed("N", "n") for t, p in c.sumstats.items()}
     if c.shared_snps:
         for f in files.values():
             base = base.join(f.select("snp"), "snp", "left_semi")
-    out = None
+    rows = None
     for trait, f in files.items():
-        found = regress.spatial_ldsc(regress.regression_rows(f, base, weights, c.n_blocks).withColumn("trait", F.lit(trait)), scores, c.n_blocks)
-        sinks.write_table(found, c.layout.ldsc(c.sample_name, trait))
-        found = spark.read.parquet(c.layout.ldsc(c.sample_name, trait))
-        out = found if out is None else out.unionByName(found)
+        r = regress.regression_rows(f, base, weights, c.n_blocks).withColumn("trait", F.lit(trait))
+        rows = r if rows is None else rows.unionByName(r)
+    out = cut(regress.spatial_ldsc(rows, scores, order))  # a row a trait and spot
+    for trait in files:
+        of = out.where(F.col("trait") == trait)
+        sinks.write_table(of, c.layout.ldsc(c.sample_name, trait))
+        sinks.write_results(of, c.layout.ldsc(c.sample_name, trait) + "_text")
     return out
 
 
@@ -229,10 +240,10 @@ def use_precomputed(spark: SparkSession, layout: C.Layout, sample: str, resource
     weights = spark.read.parquet(f"{resource_dir}/weights")
     scores = spark.read.parquet(layout.gss(sample))
     spots = spark.read.parquet(layout.spots(sample)).select("spot").distinct()
-    order = spots.withColumn("seq", F.row_number().over(W.orderBy("spot")) - 1).withColumn("chunk", (F.floor(F.col("seq") / spots_per_chunk) + 1).cast("int"))
-    arrays = ld.chunked_scores(ld.annotation_scores(weights, scores), order).join(weights.select("chr", "idx", "snp").distinct(), ["chr", "idx"])
+    order = in_chunks(spots, spots_per_chunk)
+    arrays = ld.annotation_chunks(weights, scores, order).join(weights.select("chr", "idx", "snp").distinct(), ["chr", "idx"])
     sinks.write_table(spark.read.parquet(f"{resource_dir}/baseline"), layout.baseline(sample), "chr")
     sinks.write_table(spark.read.parquet(f"{resource_dir}/snp_gene"), layout.snp_gene(sample), "chr")
     sinks.write_table(spark.read.parquet(f"{resource_dir}/w_ld"), layout.weights(sample), "chr")
     sinks.write_table(order, layout.ldscore(sample) + "_spots")
-    sinks.write_table(arrays, layout.ldscore(sample), "chunk", "chr")
+    sinks.write_scores(arrays, layout.ldscore(sample))

@@ -22,10 +22,11 @@ def write_table(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def write_scores(rows: DataFrame, path: str, column: str = "l2") -> None:
-    """LD scores by sample, chunk and chromosome, infinite ones at the largest half."""
-    by = [c for c in ("sample", "chunk", "chr") if c in rows.columns]
-    write_table(rows.withColumn(column, F.greatest(F.least(column, F.lit(LARGEST_HALF)), F.lit(-LARGEST_HALF))), path, *by)
+def write_scores(rows: DataFrame, path: str) -> None:
+    """LD scores (chr, idx, snp, chunk, l2 array) by chunk and chromosome, in single precision, those beyond the largest
+    half at it."""
+    l2 = F.transform("l2", lambda x: F.greatest(F.least(x, F.lit(LARGEST_HALF)), F.lit(-LARGEST_HALF)).cast("float"))
+    write_table(rows.withColumn("l2", l2), path, "chunk", "chr")
 
 
 def write_weights(rows: DataFrame, path: str) -> None:

@@ -243,9 +243,17 @@ def test_regression_against_numpy(spark):
     trait = frame(spark, list(zip(snps, z.tolist(), n.tolist(), strict=True)), "snp string, z double, n double")
     b = frame(spark, [(s, i, base[i].tolist()) for i, s in enumerate(snps)], "snp string, idx long, base array<double>")
     w = frame(spark, list(zip(snps, w_ld.tolist(), strict=True)), "snp string, l2 double")
-    lds = frame(spark, [(s, 1, ["a", "b", "c"], x[i].tolist()) for i, s in enumerate(snps)], "snp string, chunk int, spots array<string>, l2 array<float>")
-    got = {r["spot"]: r for r in regress.spatial_ldsc(regress.regression_rows(trait, b, w, blocks), lds, blocks).collect()}
-    assert set(got) == {"a", "b"}
+    lds = frame(spark, [(s, 1, x[i].tolist()) for i, s in enumerate(snps)], "snp string, chunk int, l2 array<float>")
+    names = frame(spark, [(1, ["a", "b", "c"])], "chunk int, spots array<string>")
+    rows = regress.regression_rows(trait, b, w, blocks).withColumn("trait", F.lit("t"))
+    fewer = regress.regression_rows(trait.where("snp < 'rs3'"), b, w, blocks).withColumn("trait", F.lit("u"))
+    both = regress.spatial_ldsc(rows.unionByName(fewer), lds, names, slice_size=64).collect()
+    got = {r["spot"]: r for r in both if r["trait"] == "t"}
+    assert set(got) == {"a", "b"} and {r["spot"] for r in both if r["trait"] == "u"} == {"a", "b"}
+    alone = {r["spot"]: r for r in regress.spatial_ldsc(fewer, lds, names).collect()}
+    for r in both:
+        if r["trait"] == "u":
+            assert r["beta"] == pytest.approx(alone[r["spot"]]["beta"]) and r["se"] == pytest.approx(alone[r["spot"]]["se"])
     nbar, chi = n.mean(), z**2
     cut = np.floor(np.linspace(0, m, blocks + 1)).astype(int)
     for k, spot in enumerate("ab"):
@@ -262,6 +270,21 @@ def test_regression_against_numpy(spark):
         assert got[spot]["p"] == pytest.approx(0.5 * math.erfc(got[spot]["z"] / math.sqrt(2)))
 
 
+def test_annotation_chunks_against_rows(spark):
+    rng = np.random.default_rng(8)
+    w = rng.random((50, 6)) * (rng.random((50, 6)) < 0.5)
+    g = rng.random((6, 7)) * (rng.random((6, 7)) < 0.5)
+    weights = frame(spark, [(1, i, f"g{k}" if k < 5 else None, float(w[i, k])) for i in range(50) for k in range(6) if w[i, k]], "chr int, idx long, gene string, w double")
+    gss = frame(spark, [(f"g{k}", f"s{s}", float(g[k, s])) for k in range(5) for s in range(7) if g[k, s]], "gene string, spot string, score double")
+    spots = frame(spark, [(f"s{s}", s // 4 + 1, s) for s in range(7)], "spot string, chunk int, seq long")
+    got = {(r["idx"], r["chunk"]): r["l2"] for r in ld.annotation_chunks(weights, gss, spots, block=16).collect()}
+    want = w[:, :5] @ g[:5]
+    for i in range(50):
+        for c, at in ((1, slice(0, 4)), (2, slice(4, 7))):
+            assert got.get((i, c), [0.0] * len(want[i, at])) == pytest.approx(want[i, at].tolist())
+    assert max(ld.annotation_chunks(weights, gss, spots, clamp=0.5).select(F.array_max("l2")).toPandas().iloc[:, 0]) <= 0.5
+
+
 def test_blocks_are_even(spark):
     rows = spark.range(1003).withColumnRenamed("id", "i").repartition(5)
     got = [r["block"] for r in regress.with_blocks(rows, ["i"], 20).orderBy("i").collect()]

@@ -124,8 +124,12 @@ def test_whole_analysis(spark, tmp_path):
     layout = C.Layout(work)
     assert spark.read.parquet(layout.ldscore("S")).select("chunk").distinct().count() == 3
     assert spark.read.parquet(layout.weights("S")).count() == variants // 2
+    m = spark.read.parquet(layout.ldscore("S") + "_m").agg(F.sum("m").alias("a"), F.sum("m_5_50").alias("b")).first()
+    assert m["a"] >= m["b"] > 0
+    assert text.read_weights(spark, layout.weights("S") + "_text").count() == variants // 2
     (tmp_path / "t.sumstats").write_text("SNP A1 A2 Z N\n" + "".join(f"rs{i} A C {rng.normal() * 1.5:.3f} 1000\n" for i in range(variants)))
     out = steps.spatial_ldsc(spark, C.SpatialLDSCConfig(work, "S", str(tmp_path / "t.sumstats"), "T", n_blocks=10))
+    assert text.read_result(spark, layout.ldsc("S", "T") + "_text").count() == out.count()
     assert 0 < out.count() <= spots and {"spot", "beta", "se", "z", "p", "trait"} <= set(out.columns)
     found = steps.cauchy(spark, C.CauchyConfig(work, "T", "region", "S"))
     assert {r["annotation"] for r in found.collect()} == {"a", "b"}
