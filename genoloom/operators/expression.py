@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -103,6 +105,48 @@ def variable_genes(expression: DataFrame, n_spots, n_top: int = 3000, bins: int
     return m.join(by, "bin").select("gene", z.alias("dispersion")).where("dispersion is not null").orderBy(F.desc("dispersion"), "gene").limit(n_top)
 
 
+def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
+    """Local quadratic fits of y at each x: its ``span`` share of nearest points, weighted by the tricube of their
+    distance over the farthest one's."""
+    order = np.argsort(x, kind="stable")
+    xs, ys, n = x[order], y[order], len(x)
+    q = min(n, max(3, int(np.floor(span * n + 1e-5))))
+    fit, lo = np.empty(n), 0
+    for i in range(n):
+        while lo + q < n and xs[lo + q] - xs[i] < xs[i] - xs[lo]:
+            lo += 1
+        d = xs[lo : lo + q] - xs[i]
+        far = np.abs(d).max()
+        w = np.sqrt(np.maximum(0, 1 - (np.abs(d) / far) ** 3) ** 3) if far > 0 else np.ones(q)
+        u = d / far if far > 0 else d
+        fit[i] = np.linalg.lstsq(np.stack([w, w * u, w * u * u], 1), w * ys[lo : lo + q], rcond=None)[0][0]
+    out = np.empty(n)
+    out[order] = fit
+    return out
+
+
+def variable_genes_counts(counts: DataFrame, n_spots: int, n_top: int = 3000, span: float = 0.3) -> DataFrame:
+    """(gene, dispersion) of the ``n_top`` genes whose raw counts vary most: the variance of counts over the deviation
+    that a local fit of log10 variance on log10 mean expects, each count bounded by the mean and sqrt(n) deviations.
+    The fit is one task over a row a gene; genes that do not vary have 0."""
+    n = float(n_spots)
+    moments = gene_moments(counts, n_spots).withColumn("one", F.lit(0))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("gene")
+        mean, sd = pdf["mean"].to_numpy(float), pdf["sd"].to_numpy(float)
+        some, expected = (sd > 0) & (mean > 0), np.zeros(len(pdf))
+        if some.any():
+            expected[some] = np.sqrt(10 ** loess(np.log10(mean[some]), 2 * np.log10(sd[some]), span))
+        return pd.DataFrame({"gene": pdf["gene"], "mean": mean, "expected": expected})
+
+    fitted = moments.groupBy("one").applyInPandas(fit, f"gene {dict(counts.dtypes)['gene']}, mean double, expected double")
+    top = F.least(F.col("value").cast("double"), F.col("mean") + F.col("expected") * n**0.5)
+    sums = counts.join(fitted, "gene").groupBy("gene").agg(F.first("mean").alias("m"), F.first("expected").alias("e"), F.sum(top).alias("a"), F.sum(top * top).alias("b"))
+    score = F.when(F.col("e") > 0, (n * F.col("m") * F.col("m") + F.col("b") - 2 * F.col("m") * F.col("a")) / ((n - 1) * F.col("e") * F.col("e"))).otherwise(0.0)
+    return sums.select("gene", score.alias("dispersion")).orderBy(F.desc("dispersion"), "gene").limit(n_top)
+
+
 def pca(vectors: DataFrame, k: int, column: str = "vec") -> DataFrame:
     """``vectors`` with ``latent``: the first ``k`` principal components of an array column, centred.  Signs are free."""
     from pyspark.ml.feature import PCA, StandardScaler

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import cauchy_statistic, norm_sf
 from ..functions.stats import z_from_p as signed_z
-from ..operators import combine, diagnose, expression, gss, intervals, ld, neighbors, ranks, regress, sumstats
+from ..operators import combine, diagnose, expression, graph_latent, gss, intervals, ld, neighbors, ranks, regress, sumstats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -656,6 +656,23 @@ def pca_latent(spark, sf_dir):
     return expression.pca(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 8, "embedding").select("vec_id", F.transform("latent", lambda x: F.round(F.abs(x), 6)).alias("latent"))
 
 
+@query()
+def variable_genes_counts(spark, sf_dir):
+    """Spots are orders' customers, genes parts, counts quantities; a local fit is not for SQL."""
+    x = _expr(spark, sf_dir)
+    return expression.variable_genes_counts(x, x.select("spot").distinct().count(), 100).select("gene", F.round("dispersion", 6).alias("dispersion"))
+
+
+@query()
+def latent_graph(spark, sf_dir):
+    """A small auto-encoder over all vectors as spots, their labels learned too."""
+    s = _spots(spark, sf_dir).withColumn("label", F.coalesce(F.col("annotation").cast("int"), F.lit(0)))
+    near = neighbors.knn_spatial(s, 11, ("sample",)).where("distance > 0")
+    shape = graph_latent.Shape(hidden1=64, hidden2=32, gat1=16, gat2=8, epochs=20)
+    out = graph_latent.graph_latent(s.select("pos", "sx", "sy", F.col("vec").cast("array<double>").alias("vec"), "label"), near, shape, labels=10)
+    return out.select("pos", F.transform("latent", lambda x: F.round(x, 3)).alias("latent"))
+
+
 @query(f"""with {_VALUES}, m as (select spot, gene, score, avg(score) over (partition by gene) as m, stddev_samp(score) over (partition by gene) as s, max(score) over (partition by gene) as top from v)
 select spot, gene, round(least((score - m) / case when s > 0 then s else 1 end, 10), 6) as value from m where top > 0""")
 def scaled_expression(spark, sf_dir):

@@ -68,6 +68,22 @@ class LatentConfig(SampleStep):
     n_comps: int = 300
     feat_cell: int = 3000
     pearson_residuals: bool = False
+    graph: bool = True
+    input_pca: bool = True
+    epochs: int = 300
+    feat_hidden1: int = 256
+    feat_hidden2: int = 128
+    gat_hidden1: int = 64
+    gat_hidden2: int = 30
+    nheads: int = 3
+    p_drop: float = 0.1
+    gat_lr: float = 0.001
+    gcn_decay: float = 0.01
+    n_neighbors: int = 11
+    label_w: float = 1.0
+    rec_w: float = 1.0
+    convergence_threshold: float = 1e-4
+    seed: int = 2024
 
     def __post_init__(self):
         if not self.input_path:
@@ -77,7 +93,7 @@ class LatentConfig(SampleStep):
 @dataclass
 class LatentToGeneConfig(SampleStep):
     annotation: str | None = None
-    latent_representation: str = "latent_PCA"
+    latent_representation: str = "latent_GVAE"
     num_neighbour: int = 21
     num_neighbour_spatial: int = 101
     homolog_file: str | None = None
@@ -237,7 +253,7 @@ class QuickModeConfig(SampleStep):
     input_path: str = ""
     annotation: str = "annotation"
     data_layer: str = "count"
-    latent_representation: str = "latent_PCA"
+    latent_representation: str = "latent_GVAE"
     sumstats_file: str | None = None
     trait_name: str | None = None
     sumstats_config_file: str | None = None
@@ -246,6 +262,7 @@ class QuickModeConfig(SampleStep):
     num_neighbour: int = 21
     num_neighbour_spatial: int = 101
     n_comps: int = 300
+    pearson_residuals: bool = False
 
     def __post_init__(self):
         self.sumstats = traits(self.sumstats_file, self.trait_name, self.sumstats_config_file)

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..operators import combine, diagnose, expression, gss, intervals, ld, neighbors, ranks, regress, sumstats
+from ..operators import combine, diagnose, expression, graph_latent, gss, intervals, ld, neighbors, ranks, regress, sumstats
 from ..sources import plink, sinks, text
 from . import config as C
 from ..tables import cut
@@ -42,30 +43,53 @@ def create_slice_mean(spark: SparkSession, c: C.SliceMeanConfig) -> DataFrame:
 
 
 def find_latent(spark: SparkSession, c: C.LatentConfig) -> None:
-    """Principal components of the scaled variable genes, as ``latent_PCA``.  Another representation is an input: add
-    its rows to the table under another ``rep``."""
+    """Principal components of the scaled variable genes, as ``latent_PCA``, and with ``c.graph`` what a graph-attention
+    auto-encoder makes of them (or, without ``c.input_pca``, of the genes themselves), as ``latent_GVAE``.  Another
+    representation is an input: add its rows to the table under another ``rep``."""
     rows = expression.keep_expressed(spark.read.parquet(f"{c.input_path}/expression").withColumn("sample", F.lit(c.sample_name)))
     spots = spark.read.parquet(f"{c.input_path}/spots").withColumn("sample", F.lit(c.sample_name))
     if c.annotation:
         spots = expression.keep_annotated(spots.withColumn("annotation", F.col(c.annotation)))
         rows = rows.join(spots.select("sample", "spot"), ["sample", "spot"], "left_semi")
     n = spots.count()
-    if c.pearson_residuals:  # genes by their counts; residuals are not scaled
-        top = expression.variable_genes(rows, n, c.feat_cell)
+    of_counts = c.data_layer in ("count", "counts", "X")  # genes by their raw counts
+    values = expression.normalize_log1p(rows) if of_counts else rows
+    top = cut(expression.variable_genes_counts(rows, n, c.feat_cell) if of_counts else expression.variable_genes(rows, n, c.feat_cell))
+    if of_counts and c.pearson_residuals:  # not scaled
         scaled = expression.dense_residuals(rows, top, spots)
     else:
-        values = expression.normalize_log1p(rows) if c.data_layer in ("count", "counts", "X") else rows
-        top = expression.variable_genes(values, n, c.feat_cell)
-        values = values.join(F.broadcast(top.select("gene")), "gene", "left_semi")
+        values = values.join(F.broadcast(top.select("gene")), "gene", "left_semi")  # feat_cell genes at most
         scaled = expression.scale(values, expression.gene_moments(values, n), spots)
     vectors = scaled.groupBy("sample", "spot").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene", "value"))), lambda x: x["value"]).alias("vec"))
     width = top.count()
     out = expression.pca(vectors, min(c.n_comps, width, max(1, n - 1))).select("sample", "spot", F.lit("latent_PCA").alias("rep"), F.col("latent").alias("vec"))
+    if c.graph:
+        out = cut(out)
+        inputs = out.select("spot", "vec") if c.input_pca else vectors.select("spot", "vec")
+        out = out.unionByName(graph_rows(c, spots, inputs))
     sinks.write_table(out, c.layout.latent(c.sample_name))
     sinks.write_table(spots, c.layout.spots(c.sample_name))
     sinks.write_table(rows, c.layout.expression(c.sample_name))
 
 
+def graph_rows(c: C.LatentConfig, spots: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The latent table's rows of ``latent_GVAE``; annotations, where they are asked for, are learned as labels."""
+    sample = F.lit(c.sample_name)
+    near = neighbors.knn_spatial(spots.select("sample", "pos", "sx", "sy"), c.n_neighbors, ("sample",)).where("distance > 0")
+    nodes = spots.join(vectors, "spot")
+    labels = 0
+    if c.annotation:
+        names = spots.groupBy("annotation").count()
+        labels = names.count()
+        names = names.select("annotation", (F.row_number().over(W.orderBy("annotation")) - 1).alias("label"))  # a row an annotation
+        nodes = nodes.join(names, "annotation")
+    else:
+        nodes = nodes.withColumn("label", F.lit(-1))
+    shape = graph_latent.Shape(c.feat_hidden1, c.feat_hidden2, c.gat_hidden1, c.gat_hidden2, c.nheads, c.p_drop, c.gat_lr, c.gcn_decay, c.epochs, threshold=c.convergence_threshold, label_weight=c.label_w, rec_weight=c.rec_w, seed=c.seed)
+    found = graph_latent.graph_latent(nodes.select("pos", "sx", "sy", "vec", "label"), near, shape, labels)
+    return found.join(spots.select("pos", "spot"), "pos").select(sample.alias("sample"), "spot", F.lit("latent_GVAE").alias("rep"), F.col("latent").alias("vec"))
+
+
 def latent_to_gene(spark: SparkSession, c: C.LatentToGeneConfig) -> DataFrame:
     rows = spark.read.parquet(c.layout.expression(c.sample_name)).select("sample", "spot", "gene", "value")
     spots = spark.read.parquet(c.layout.spots(c.sample_name))
@@ -219,7 +243,7 @@ def quick_mode(spark: SparkSession, c: C.QuickModeConfig) -> dict[str, str]:
     """Latent, scores, precomputed weights, and for each trait regression, regions and a page; what is there is kept."""
     layout = c.layout
     if not sinks.done(spark, layout.latent(c.sample_name)):
-        find_latent(spark, C.LatentConfig(c.workdir, c.sample_name, c.input_path, c.annotation, c.data_layer, c.n_comps))
+        find_latent(spark, C.LatentConfig(c.workdir, c.sample_name, c.input_path, c.annotation, c.data_layer, c.n_comps, graph=c.latent_representation == "latent_GVAE", pearson_residuals=c.pearson_residuals))
     if not sinks.done(spark, layout.gss(c.sample_name)):
         latent_to_gene(spark, C.LatentToGeneConfig(c.workdir, c.sample_name, c.annotation, c.latent_representation, c.num_neighbour, c.num_neighbour_spatial, c.homolog_file, c.gM_slices))
     if not sinks.done(spark, layout.ldscore(c.sample_name)):

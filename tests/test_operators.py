@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoloom.functions import stats
-from genoloom.operators import combine, diagnose, expression, gss, intervals, ld, neighbors, ranks, regress, sumstats
+from genoloom.operators import combine, diagnose, expression, graph_latent, gss, intervals, ld, neighbors, ranks, regress, sumstats
 from genoloom.plans.catalog import QUERIES
 
 
@@ -270,6 +270,60 @@ def test_regression_against_numpy(spark):
         assert got[spot]["p"] == pytest.approx(0.5 * math.erfc(got[spot]["z"] / math.sqrt(2)))
 
 
+def test_gradients_of_the_graph_encoder():
+    rng = np.random.default_rng(0)
+    x, label = rng.normal(size=(14, 6)), rng.integers(0, 2, 10)
+    graph = graph_latent.graph_of(14, np.repeat(np.arange(14), 3), rng.integers(0, 14, 42))
+    net = graph_latent.Net(6, 2, graph_latent.Shape(hidden1=7, hidden2=5, gat1=4, gat2=3, heads=2, drop=0.0), np.float64)
+    loss = lambda: net.loss(x, graph, 10, label, np.random.default_rng(1))
+    loss()
+    found = {k: v.copy() for k, v in net.g.items()}
+    for k, w in net.p.items():
+        for _ in range(4):
+            i = tuple(rng.integers(0, d) for d in w.shape)
+            old, h = w[i], 1e-6
+            w[i] = old + h
+            up = loss()
+            w[i] = old - h
+            down = loss()
+            w[i] = old
+            assert found[k][i] == pytest.approx((up - down) / 2 / h, rel=1e-4, abs=1e-6)
+
+
+def test_graph_latent_in_one_tile_and_many(spark):
+    rng = np.random.default_rng(2)
+    label = [i % 2 for i in range(120)]
+    rows = [(i, float(rng.normal() + 5 * (i % 2)), float(rng.normal()), (rng.normal(size=8) + 2 * (i % 2)).tolist(), i % 2) for i in range(120)]
+    nodes = frame(spark, rows, "pos long, sx double, sy double, vec array<double>, label int")
+    near = neighbors.knn_spatial(nodes.withColumn("sample", F.lit("s")), 6, ("sample",)).where("distance > 0")
+    shape = graph_latent.Shape(hidden1=16, hidden2=12, gat1=6, gat2=4, epochs=30, rate=0.01)
+    for tile in (1000, 50):
+        got = graph_latent.graph_latent(nodes, near, shape, 2, tile).toPandas().sort_values("pos")
+        assert got["pos"].tolist() == list(range(120))
+        z = np.stack(got["latent"].to_list())
+        assert np.isfinite(z).all()
+        centre = np.stack([z[np.array(label) == k].mean(0) for k in (0, 1)])
+        close = ((z[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+        assert (close == label).mean() > 0.95
+    assert graph_latent.graph_latent(nodes.limit(0), near, shape).count() == 0
+
+
+def test_variable_genes_by_counts(spark):
+    rng = np.random.default_rng(4)
+    x = rng.poisson(rng.gamma(2, size=40)[None], (80, 40))
+    x[:, 7] *= rng.integers(0, 6, 80)
+    counts = frame(spark, [("s", f"c{i}", f"g{k:02}", float(x[i, k])) for i in range(80) for k in range(40) if x[i, k]], "sample string, spot string, gene string, value double")
+    got = expression.variable_genes_counts(counts, 80, 40).toPandas().set_index("gene")["dispersion"]
+    assert got.index[0] == "g07"
+    mean, var = x.mean(0), x.var(0, ddof=1)
+    sd = np.sqrt(10 ** expression.loess(np.log10(mean), np.log10(var)))
+    low = np.minimum(x, mean + sd * 80**0.5)
+    want = ((low - mean) ** 2).sum(0) / 79 / sd**2
+    assert got.to_numpy() == pytest.approx(np.sort(want)[::-1])
+    t = np.linspace(0, 1, 50)
+    assert expression.loess(t, 1 + 2 * t - 3 * t * t) == pytest.approx(1 + 2 * t - 3 * t * t)
+
+
 def test_annotation_chunks_against_rows(spark):
     rng = np.random.default_rng(8)
     w = rng.random((50, 6)) * (rng.random((50, 6)) < 0.5)

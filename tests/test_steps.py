@@ -113,7 +113,8 @@ def test_whole_analysis(spark, tmp_path):
     place = [(f"c{i}", i, float(rng.normal()), float(rng.normal()), "ab"[i % 2]) for i in range(spots)]
     spark.createDataFrame(place, "spot string, pos long, sx double, sy double, region string").write.parquet(str(tmp_path / "in/spots"))
     work = str(tmp_path / "work")
-    steps.find_latent(spark, C.LatentConfig(work, "S", str(tmp_path / "in"), "region", n_comps=4, feat_cell=10))
+    steps.find_latent(spark, C.LatentConfig(work, "S", str(tmp_path / "in"), "region", n_comps=4, feat_cell=10, epochs=5))
+    assert {r["rep"] for r in spark.read.parquet(C.Layout(work).latent("S")).select("rep").distinct().collect()} == {"latent_PCA", "latent_GVAE"}
     steps.latent_to_gene(spark, C.LatentToGeneConfig(work, "S", "region", num_neighbour=5, num_neighbour_spatial=10))
     (tmp_path / "g.gtf").write_text("".join(f'1\tx\tgene\t{1 + j * 20000}\t{10000 + j * 20000}\t.\t+\t.\tgene_name "G{j}";\n' for j in range(genes)))
     (tmp_path / "p.1.bim").write_text("".join(f"1\trs{i}\t0\t{1 + i * 1000}\tA\tC\n" for i in range(variants)))
