@@ -1,9 +1,10 @@
 """Chat formatting: reply trees to conversations, with DataFrame operations only.
 
 A *segment* is a run of replies without a branch.  Pointer-doubling self-joins find each message's segment and its
-place there, in as many rounds as the logarithm of the longest run; level-by-level self-joins over the segments then
-enumerate root-to-leaf paths, so only branching costs rounds, not length.  Paths are ranked by the sum of their
-messages' scores and the best ``top_k`` of each tree are formatted.
+place there, in as many rounds as the logarithm of the longest run; the same over segments gives each leaf the sum of
+its path's scores, in as many rounds as the logarithm of the deepest branching.  Leaves are ranked by that, and only
+the paths of the best ``top_k`` of each tree are enumerated, by the same jumps, and formatted.  A very long text is a
+value of one row; nothing here is an array of a path's segments.
 """
 
 from __future__ import annotations
@@ -58,27 +59,28 @@ def paths(messages: DataFrame, top_k: int, scratch: Scratch) -> DataFrame:
         ptr = scratch.table(ptr, f"ptr-{k}")
         settled, going = settled.union(ptr.where("done")), ptr.where("not done")
     ptr = settled
-    score = ptr.groupBy("tree_id", F.col("at").alias("seg")).agg(F.sum("score").alias("score"))
+    score = ptr.groupBy("tree_id", F.col("at").alias("seg")).agg(F.sum("score").alias("score"), F.max_by("node_id", "off").alias("last"))
     heads = ptr.where("node_id = at").select("tree_id", F.col("node_id").alias("seg"), "parent_id")
     above = ptr.select("tree_id", F.col("node_id").alias("parent_id"), F.col("at").alias("up"))
-    segs = scratch.table(heads.join(above, ["tree_id", "parent_id"], "left").join(score, ["tree_id", "seg"]).select("tree_id", "seg", "up", "score"), "segments")
-    leaf = segs.join(segs.select("tree_id", F.col("up").alias("seg")).where("seg is not null").distinct(), ["tree_id", "seg"], "left_anti").select("tree_id", F.col("seg").alias("leaf"))
-    front = segs.where("up is null").select("tree_id", F.array("seg").alias("path"), "score", F.col("seg").alias("tip"))
-    found, k = [], 0
-    front = scratch.table(front, "front-0")
-    while True:
-        found.append(front)
-        k += 1
-        more = segs.select("tree_id", F.col("up").alias("tip"), "seg", F.col("score").alias("more"))
-        front = scratch.table(front.join(more, ["tree_id", "tip"]).select("tree_id", F.concat("path", F.array("seg")).alias("path"), (F.col("score") + F.col("more")).alias("score"), F.col("seg").alias("tip")), f"front-{k}")
-        if front.isEmpty():
-            break
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    full = every.join(leaf.withColumnRenamed("leaf", "tip"), ["tree_id", "tip"])
-    best = full.withColumn("rank", F.row_number().over(W.partitionBy("tree_id").orderBy(F.desc("score"), "tip"))).where(F.col("rank") <= top_k)
-    at = best.select("tree_id", F.col("tip").alias("leaf_id"), "rank", "score", F.posexplode("path").alias("depth", "at"))
+    segs = scratch.table(heads.join(above, ["tree_id", "parent_id"], "left").join(score, ["tree_id", "seg"]).select("tree_id", "seg", "up", "score", "last"), "segments")
+    leaf = segs.join(segs.select("tree_id", F.col("up").alias("seg")).where("seg is not null").distinct(), ["tree_id", "seg"], "left_anti").select("tree_id", F.col("seg").alias("at"), F.col("last").alias("leaf"))
+    # total: scores from a segment up to before anc, its 2^k-th above, or to the root where there is none
+    jump = scratch.table(segs.select("tree_id", "seg", F.col("up").alias("anc"), F.col("score").alias("total"), F.col("up").isNotNull().cast("long").alias("depth")), "jump-0")
+    ranked, going, jumps, left = jump.where("anc is null"), jump.where("anc is not null"), [], -1
+    while (now := going.count()) not in (0, left):  # what is left of circles never gets shorter
+        left = now
+        jumps.append(going.select("tree_id", F.col("seg").alias("at"), "anc"))
+        ahead = ranked.union(going).select("tree_id", F.col("seg").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("more"), F.col("depth").alias("higher"))
+        jump = going.join(ahead, ["tree_id", "anc"]).select("tree_id", "seg", F.col("anc2").alias("anc"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("higher")).alias("depth"))
+        jump = scratch.table(jump, f"jump-{len(jumps)}")
+        ranked, going = ranked.union(jump.where("anc is null")), jump.where("anc is not null")
+    full = ranked.select("tree_id", F.col("seg").alias("at"), F.col("total").alias("score"), "depth").join(leaf, ["tree_id", "at"])
+    best = full.withColumn("rank", F.row_number().over(W.partitionBy("tree_id").orderBy(F.desc("score"), "leaf"))).where(F.col("rank") <= top_k)
+    at = best.select("tree_id", F.col("leaf").alias("leaf_id"), "rank", "score", "at", "depth")
+    for k in reversed(range(len(jumps))):  # every segment above a chosen leaf is a sum of distinct jumps away
+        at = scratch.table(at, f"chosen-{k}")
+        up = at.join(jumps[k], ["tree_id", "at"]).select("tree_id", "leaf_id", "rank", "score", F.col("anc").alias("at"), (F.col("depth") - 2**k).alias("depth"))
+        at = at.union(up)
     rows = at.join(ptr.select("tree_id", "at", "node_id", "off"), ["tree_id", "at"])
     return rows.join(m.drop("score", "parent_id"), ["tree_id", "node_id"]).select("tree_id", "leaf_id", "rank", "score", F.struct("depth", "off").alias("pos"), "role", "text")
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,32 @@ def test_chat_query(spark, data):
     t = "</s>[INST] ok [/INST]"
     assert got[-1]["turns_sha256"] == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
     assert got[-1]["loss_sha256"] == hashlib.sha256(t.encode()).hexdigest() and got[-1]["loss_chars"] == len(t)
+
+
+def test_side_replies_at_every_level(spark):
+    """A thread with a side reply at each message, a circle with a branch, repeats and a column that is not asked for."""
+    rng = random.Random(3)
+    rows, depth = [], 21
+    for t in (1, 2):
+        for i in range(depth):
+            rows.append((t, 2 * i, 2 * i - 2 if i else None, "user", f"m{i}", float(rng.randint(-3, 3)), "x"))
+            rows.append((t, 2 * i + 1, 2 * i, "assistant", f"s{i}", float(rng.randint(-3, 3)), "x"))
+    rows += [(3, 1, 2, "user", "a", 1.0, "x"), (3, 2, 1, "user", "b", 1.0, "x"), (3, 3, 1, "user", "c", 1.0, "x")]
+    rows += rows[:5] + [(None, 1, None, "user", "n", 0.0, "x"), (4, 7, 99, None, None, None, "x")]
+    trees = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, role string, text string, score double, path string")
+    got = {}
+    for r in chat.format_trees(trees, top_k=4).withColumn("turns", chat.parse(F.col("formatted"))).collect():
+        got[r["tree_id"], r["rank"]] = (r["leaf_id"], r["score"], [x["text"] for x in r["turns"]])
+    want = {(4, 1): (7, 0.0, [""])}
+    for t in (1, 2):
+        of = {r[1]: r for r in rows if r[0] == t}
+        found = []
+        for leaf in set(of) - {r[2] for r in of.values()}:
+            path, at = [], leaf
+            while at is not None:
+                path.append(of[at])
+                at = of[at][2]
+            found.append((-sum(r[5] for r in path), leaf, [r[4] for r in reversed(path)]))
+        want |= {(t, k + 1): (leaf, -s, texts) for k, (s, leaf, texts) in enumerate(sorted(found)[:4])}
+    assert got == want
+    assert chat.format_trees(trees.where("false")).count() == 0
