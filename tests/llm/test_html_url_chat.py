@@ -86,6 +86,35 @@ def test_model_is_a_distribution_and_tells_classes(spark):
     assert got[5000] == "allow" and got[5001] == "block"
     m = url_filter.Model({"a": 3, "b": 1, "ab": 2, "aa": 1}, 1)
     assert sum(m.p("a", chr(i)) for i in range(256)) == pytest.approx(1)
+    cut = url_filter.Model({"a": 3, "aa": 2}, 1, contexts={"": (9, 4), "a": (3, 2)})
+    assert sum(cut.p("a", chr(i)) for i in range(256)) == pytest.approx(1)
+    assert cut.p("a", "a") == pytest.approx((2 + 3 * cut.p("", "a")) / 5) and cut.p("", "a") == pytest.approx((3 + 10 / 256) / 13)
+
+
+def test_counts_of_contexts_are_those_of_all_runs(spark):
+    urls = [f"http://a{i % 7}.com/n/{i}" for i in range(60)]
+    rows = spark.createDataFrame([(u, False) for u in urls] + [("http://b.net/x", True)], "url string, bad boolean")
+    seen = {}
+    for u in urls:
+        x = "\x02\x02" + url_filter._symbols(u) + "\x03"
+        for i in range(2, len(x)):
+            for k in range(3):
+                of = seen.setdefault(x[i - k : i], {})
+                of[x[i]] = of.get(x[i], 0) + 1
+    few, _ = url_filter.train(rows, order=2, max_grams=20)
+    assert len(few.grams) == 20
+    for x, (total, shorter) in few.weights.items():
+        kept = sum(n for g, n in few.grams.items() if g[:-1] == x)
+        assert total == sum(seen[x].values()) + len(seen[x]) and total - shorter == kept
+        assert sum(few.p(x, chr(i)) for i in range(256)) == pytest.approx(1)
+
+
+def test_odd_urls(spark):
+    rows = [(None, "http://a.com/x", 1), (1, "", 2), (1, "", 2), (2, "http://a.com/" + "x" * 200_000, 3), (3, "http://a.com/" + "x" * 200_000, 3), (4, "http://casino.net/é", 4)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host int")).collect()
+    assert len(got) == 6 and got[0]["page_id"] is None
+    by = {r["page_id"]: r for r in got}
+    assert len(by[2]["path"]) == 200_001 and (by[2]["verdict"], by[2]["ratio"]) == (by[3]["verdict"], by[3]["ratio"]) and by[1]["verdict"] == "allow"
 
 
 def test_chat_round_trip(spark):
