@@ -98,16 +98,16 @@ def train(docs: DataFrame, per_language: int = 500, most_languages: int = 1000)
     """Learns from text and lang of ``docs`` (doc_id, text, lang): of each of the ``most_languages`` most frequent
     languages at most ``per_language`` rows with text, those with the least hashes of doc_id.  Those bounds are the
     size of what the driver sees.  Languages are counted over all rows first; a row whose hash is far above what its
-    language's count asks for goes before anything is shuffled."""
+    language's count asks for goes before anything is shuffled.  Repeated rows are learned from once."""
     known = docs.where("lang is not null and length(text) > 2")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("rows"), "lang").limit(most_languages)
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     rate = counts.select(F.col("lang").alias("l"), ((per_language + 8 * per_language**0.5 + 30) / F.col("n")).alias("rate"))
-    near = known.select("doc_id", "lang", F.xxhash64("text").alias("t"), place.alias("place")).join(F.broadcast(rate), F.col("lang") == F.col("l")).where("place <= rate")
+    near = known.select("doc_id", "lang", F.xxhash64("text").alias("t"), place.alias("place")).join(F.broadcast(rate), F.col("lang") == F.col("l")).where("place <= rate").drop("rate").distinct()
     nth = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", "t"))
     picked = near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("doc_id", "l", "t")
     sample = known.join(F.broadcast(picked), (known.doc_id == picked.doc_id) & (known.lang == picked.l) & (F.xxhash64(known.text) == picked.t), "left_semi").select("lang", "text")
-    rows = sample.mapInArrow(_shares, "lang string, x binary").toPandas().drop_duplicates()
+    rows = sample.mapInArrow(_shares, "lang string, x binary").distinct().toPandas()
     if rows.empty:
         return None
     rows = rows.sort_values(["lang", "x"])

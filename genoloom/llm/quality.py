@@ -169,7 +169,8 @@ def _fit(text, x_shape, x_meta, y, known, held, rounds: int, give: float, sure:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool: int = 2000, rounds: int = 4, give: float = 0.05, sure: float = 0.9, keep_good: float = 0.995) -> Model | None:
     """Learns from at most ``max_labelled`` labelled documents and a pool of ``max_pool`` others, those with the least
     hashes of doc_id.  A quarter of the labelled, by another hash, is held out for calibration and the threshold,
-    which keeps at least ``keep_good`` of the good ones there.  None without labels of both kinds."""
+    which keeps at least ``keep_good`` of the good ones there.  Of rows with one doc_id one is learned from.  None
+    without labels of both kinds."""
     votes = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -177,10 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool
     other = ids.join(votes.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(max_pool).withColumn("y", F.lit(None).cast("int"))
     picked = known.union(other)
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(picked), "doc_id").select("doc_id", F.col("y").cast("int"), "text", "source", "lang", F.col("n_chars").cast("long"))
-    found = rows.mapInArrow(_picked, "doc_id long, y int, source string, lang string, n_chars long, x binary, shape binary").toPandas()
+    found = rows.mapInArrow(_picked, "doc_id long, y int, source string, lang string, n_chars long, x binary, shape binary")
+    # one row a doc_id, before anything comes to the driver
+    first = F.min(F.struct("x", "shape", "y", "source", "lang", "n_chars")).alias("r")
+    found = found.groupBy("doc_id").agg(first).select("doc_id", "r.*").toPandas()
     if found.empty:
         return None
-    found = found.sort_values(["doc_id", "x", "shape"]).drop_duplicates("doc_id")
+    found = found.sort_values("doc_id")
     shape = shape_features(np.frombuffer(b"".join(found["shape"]), np.float32).reshape(len(found), -1).astype(np.float64))
     known, y = found["y"].notna().to_numpy(), found["y"].fillna(0).to_numpy(int)
     if len(set(y[known])) < 2:

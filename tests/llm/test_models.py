@@ -66,6 +66,16 @@ def test_quality_of_odd_rows(spark, data):
     assert [r["keep"] for r in Q.classify(rows, None).orderBy("doc_id").collect()] == [False, False, True]
 
 
+def test_repeated_rows_are_learned_from_once(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    often = docs.union(docs).union(docs)
+    one, more = (L.train(x, per_language=20) for x in (docs, often))
+    assert one.languages == more.languages and np.allclose(one.weights, more.weights)
+    one, more = (Q.train(x, labels) for x in (docs, often))
+    assert np.allclose(one.tri_w, more.tri_w) and one.cut == pytest.approx(more.cut)
+
+
 def test_sizes_of_training():
     import inspect
 
