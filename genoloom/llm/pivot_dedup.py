@@ -3,9 +3,12 @@
 Each vector is described by its ``nearest`` closest reference points (pivots).  Two vectors are candidates when they
 share at least ``shared`` of them.  Such a pair has its first shared pivot, in one order of the pivots (rare first),
 among the first nearest - shared + 1 of both, so a vector stands in that many inverted lists only, and a pair is
-taken up in the list of its first shared pivot and nowhere else.  Pivots come from a bounded sample; all vectors are
-indexed.  A list is cut into blocks of at most ``block`` vectors on average; each pair of blocks counts shared pivots
-and verifies cosines by matrix products, and gives back numbers of links and a spanning forest, never pairs.
+taken up in the list of its first shared pivot and nowhere else.  A list of more than ``crowd`` vectors is dealt out
+once more by the second shared pivot (in the same way, with one place more), so lists follow the table's size over
+the square of the number of pivots where the table is large; the pairs met are the same.  Pivots come from a bounded
+sample; all vectors are indexed.  A list is cut into blocks of at most ``block`` vectors on average; each pair of
+blocks counts shared pivots and verifies cosines by matrix products, and gives back numbers of links and a spanning
+forest, never pairs.
 """
 
 from __future__ import annotations
@@ -62,7 +65,7 @@ def _describe(pivots, nearest: int):
 
 def _meet(n_pivots: int, shared: int, cosine: float):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot, i, j = int(key[1]), int(key[2]), int(key[3])
+        pivot, second, i, j = (int(k) for k in key[1:5])
         pdf = pdf.sort_values("vec_id")
         ids, many, side = pdf["vec_id"].to_numpy(np.int64), pdf["k"].to_numpy(np.int64), pdf["own"].to_numpy()
         x = np.array([np.frombuffer(b, np.float64) for b in pdf["e"]])
@@ -74,6 +77,8 @@ def _meet(n_pivots: int, shared: int, cosine: float):
             near &= m @ m.T >= shared
             if pivot:
                 near &= m[:, :pivot] @ m[:, :pivot].T == 0
+            if second >= 0:  # nothing shared between the first and the second
+                near &= m[:, pivot + 1 : second] @ m[:, pivot + 1 : second].T == 0
         if i != j:  # pairs within a block are that block's own
             near &= side[:, None] != side[None, :]
         np.fill_diagonal(near, False)
@@ -85,7 +90,7 @@ def _meet(n_pivots: int, shared: int, cosine: float):
     return run
 
 
-def near_dups(vectors: DataFrame, *, cosine: float = 0.98, nearest: int = 8, shared: int = 4, block: int = 1024, scratch: Scratch | None = None) -> DataFrame:
+def near_dups(vectors: DataFrame, *, cosine: float = 0.98, nearest: int = 8, shared: int = 4, block: int = 1024, crowd: int = 4096, scratch: Scratch | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
     Compared within equal labels by cosine in double precision.  A vector that is null, empty, zero or holds a null
@@ -109,10 +114,16 @@ def near_dups(vectors: DataFrame, *, cosine: float = 0.98, nearest: int = 8, sha
     short = max(1, min(nearest, len(pivots)) - shared + 1)
     least = min(shared, len(pivots))
     posted = described.withColumn("pivot", F.explode(F.slice("near", 1, short)))
-    lists = posted.groupBy("label", "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"), F.count("*").alias("size")).where("size > 1").drop("size")
-    placed = posted.join(lists, ["label", "pivot"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    pairs = placed.select("label", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "k", "e", "near")
-    met = scratch.table(pairs.groupBy("label", "pivot", "i", "j").applyInPandas(_meet(len(pivots), least, cosine), "a long, links long, b long"), "met")
+    size = posted.groupBy("label", "pivot").agg(F.count("*").alias("size")).where("size > 1")
+    posted = posted.join(size, ["label", "pivot"])
+    # a crowded list by the second shared pivot too, which is after the first and one place further at most; a pair
+    # of a list that is not dealt out (pivot -1: other sizes, or one shared pivot is enough) has none
+    seconds = F.when((F.col("size") > crowd) & (F.col("pivot") >= 0), F.filter(F.slice("near", 1, short + 1), lambda q: q > F.col("pivot"))) if least > 1 else F.lit(None).cast("array<int>")
+    posted = posted.withColumn("second", F.explode(F.coalesce(seconds, F.array(F.lit(-1))))).drop("size")
+    lists = posted.groupBy("label", "pivot", "second").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"), F.count("*").alias("size")).where("size > 1").drop("size")
+    placed = posted.join(lists, ["label", "pivot", "second"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    pairs = placed.select("label", "pivot", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "k", "e", "near")
+    met = scratch.table(pairs.groupBy("label", "pivot", "second", "i", "j").applyInPandas(_meet(len(pivots), least, cosine), "a long, links long, b long"), "met")
     label = components(met.select("a", "b"), scratch)
     links = met.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     named = classes.select("label", "h", "g", F.col("vec_id").alias("rep"), "k").join(links, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")

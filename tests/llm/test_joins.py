@@ -100,8 +100,8 @@ def vectors(seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_same_as_all_cosines(spark, block):
+@pytest.mark.parametrize("block,crowd", [(1024, 4096), (16, 4096), (16, 8), (1024, 1)])
+def test_same_as_all_cosines(spark, block, crowd):
     rows = vectors(1)
     ok = {i: (np.array(v, float), g) for i, v, g in rows if v and g is not None and None not in v and np.isfinite(v).all() and np.any(v)}
     parent, n = {r[0]: r[0] for r in rows}, {r[0]: 0 for r in rows}
@@ -113,7 +113,7 @@ def test_same_as_all_cosines(spark, block):
                 u, v = sorted((find(parent, a), find(parent, b)))
                 parent[v] = u
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r for r in near_dups(df, block=block).collect()}
+    got = {r["vec_id"]: r for r in near_dups(df, block=block, crowd=crowd).collect()}
     assert len(got) == len(rows)
     found, true = sum(r["n_links"] for r in got.values()), sum(n.values())
     assert all(r["n_links"] <= n[i] for i, r in got.items()) and found >= 0.9 * true and true > 1500
@@ -123,6 +123,12 @@ def test_same_as_all_cosines(spark, block):
     assert near_dups(df.where("false")).count() == 0
 
 
+def test_crowded_lists_meet_the_same_pairs(spark):
+    df = spark.createDataFrame(vectors(2), "vec_id long, embedding array<double>, label int")
+    plain, dealt = (sorted(map(tuple, near_dups(df, crowd=c).collect())) for c in (10**9, 1))
+    assert plain == dealt and sum(r[1] for r in plain) > 1500
+
+
 @pytest.mark.parametrize("name", ["op4_jaccard_join", "op8_pivot_dedup"])
 def test_same_as_sql(spark, data, name):
     import duckdb
