@@ -68,9 +68,9 @@ def cauchy_tail(t: Column) -> Column:
 
 
 def cauchy_statistic(p: Column, small: float = 1e-15) -> Column:
-    """Mean of the Cauchy transforms of p-values; tiny ones by their limit 1 / (p pi)."""
-    each = F.when(p < small, 1 / p / F.lit(math.pi)).otherwise(F.tan((0.5 - p) * F.lit(math.pi)))
-    return F.avg(F.when((p > 0) & (p < 1), each))
+    """Mean of the Cauchy transforms of p-values; tiny ones by their limit 1 / (p pi), infinite where p is 0."""
+    each = F.when(p == 0, F.lit(math.inf)).when(p < small, 1 / p / F.lit(math.pi)).otherwise(F.tan((0.5 - p) * F.lit(math.pi)))
+    return F.avg(F.when((p >= 0) & (p < 1), each))
 
 
 def acat(p: Column, use: Column | None = None) -> Column:

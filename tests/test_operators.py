@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions import stats
 from genoloom.operators import combine, diagnose, expression, graph_latent, gss, intervals, ld, neighbors, ranks, regress, sumstats
-from genoloom.plans.catalog import QUERIES
+from genoloom.plans.catalog import ORACLE, QUERIES
 
 
 def frame(spark, rows, schema):
@@ -27,6 +28,14 @@ def combined(spark, ps):
     return frame(spark, [("a", p) for p in ps], "annotation string, p double").groupBy("annotation").agg(stats.acat(F.col("p")).alias("c")).first()["c"]
 
 
+def test_tiny_p_where_p_underflows(spark, tmp_path):
+    rows = [("a", v) for v in (1.0, 40.0, 760.0)] + [("b", v) for v in (0.0, 3.0, -400.0)] + [("c", v) for v in (700.0, 712.0)]
+    frame(spark, rows, "event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["annotation"]: r["log_t"] for r in QUERIES["cauchy_tiny_p"](spark, str(tmp_path)).collect()}
+    want = duckdb.connect().sql(ORACLE["cauchy_tiny_p"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert got == dict(want) and got["a"] == got["c"] == math.inf and got["b"] < 200
+
+
 def test_acat_edges(spark):
     assert combined(spark, [0.3, 0.3, 0.3]) == pytest.approx(0.3)
     assert combined(spark, [0.0, 0.5]) == 0 and combined(spark, [1.0, 0.5]) == 1
