@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..tables import cut
 from .sumstats import first_of
 
 
@@ -105,42 +106,60 @@ def variable_genes(expression: DataFrame, n_spots, n_top: int = 3000, bins: int
     return m.join(by, "bin").select("gene", z.alias("dispersion")).where("dispersion is not null").orderBy(F.desc("dispersion"), "gene").limit(n_top)
 
 
+def local_fits(at: np.ndarray, x: np.ndarray, n: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
+    """Local quadratic fits at each of ``at`` of points given once for each distinct ``x`` (ascending), as their number
+    ``n`` and their mean ``y``: those of the ``span`` share of nearest points, weighted by the tricube of their
+    distance over the farthest one's.  Of points with one x all or none have a weight, so that this is the fit of the
+    points one by one; where more than that share are at the very place, all of them are taken."""
+    ends = np.cumsum(n)
+    total = int(ends[-1])
+    q = min(total, max(3, int(np.floor(span * total + 1e-5))))
+    place = lambda k: np.searchsorted(ends, k, "right")  # noqa: E731  of the k-th point, counted from 0
+    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), total - q)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        move = x[place(np.minimum(mid + q, total - 1))] - at < at - x[place(mid)]
+        lo, hi = np.where(move & (lo < hi), mid + 1, lo), np.where(move, hi, np.minimum(hi, mid))
+    first, last = place(lo), place(lo + q - 1)
+    fit = np.empty(len(at))
+    for i, (a, b) in enumerate(zip(first.tolist(), (last + 1).tolist(), strict=True)):
+        d = x[a:b] - at[i]
+        far = np.abs(d).max()
+        w = np.sqrt(n[a:b] * np.maximum(0, 1 - (np.abs(d) / far) ** 3) ** 3) if far > 0 else np.sqrt(n[a:b])
+        u = d / far if far > 0 else d
+        fit[i] = np.linalg.lstsq(np.stack([w, w * u, w * u * u], 1), w * y[a:b], rcond=None)[0][0]
+    return fit
+
+
 def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
     """Local quadratic fits of y at each x: its ``span`` share of nearest points, weighted by the tricube of their
     distance over the farthest one's."""
-    order = np.argsort(x, kind="stable")
-    xs, ys, n = x[order], y[order], len(x)
-    q = min(n, max(3, int(np.floor(span * n + 1e-5))))
-    fit, lo = np.empty(n), 0
-    for i in range(n):
-        while lo + q < n and xs[lo + q] - xs[i] < xs[i] - xs[lo]:
-            lo += 1
-        d = xs[lo : lo + q] - xs[i]
-        far = np.abs(d).max()
-        w = np.sqrt(np.maximum(0, 1 - (np.abs(d) / far) ** 3) ** 3) if far > 0 else np.ones(q)
-        u = d / far if far > 0 else d
-        fit[i] = np.linalg.lstsq(np.stack([w, w * u, w * u * u], 1), w * ys[lo : lo + q], rcond=None)[0][0]
-    out = np.empty(n)
-    out[order] = fit
-    return out
+    xs, back, n = np.unique(x, return_inverse=True, return_counts=True)
+    return local_fits(xs, xs, n, np.bincount(back, y) / n, span)[back]
 
 
 def variable_genes_counts(counts: DataFrame, n_spots: int, n_top: int = 3000, span: float = 0.3) -> DataFrame:
     """(gene, dispersion) of the ``n_top`` genes whose raw counts vary most: the variance of counts over the deviation
     that a local fit of log10 variance on log10 mean expects, each count bounded by the mean and sqrt(n) deviations.
-    The fit is one task over a row a gene; genes that do not vary have 0."""
+    The fit takes a row a distinct mean (of counts: a distinct total), and its places are dealt out to tasks; genes
+    that do not vary have 0."""
     n = float(n_spots)
-    moments = gene_moments(counts, n_spots).withColumn("one", F.lit(0))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("gene")
-        mean, sd = pdf["mean"].to_numpy(float), pdf["sd"].to_numpy(float)
-        some, expected = (sd > 0) & (mean > 0), np.zeros(len(pdf))
-        if some.any():
-            expected[some] = np.sqrt(10 ** loess(np.log10(mean[some]), 2 * np.log10(sd[some]), span))
-        return pd.DataFrame({"gene": pdf["gene"], "mean": mean, "expected": expected})
-
-    fitted = moments.groupBy("one").applyInPandas(fit, f"gene {dict(counts.dtypes)['gene']}, mean double, expected double")
+    spark = counts.sparkSession
+    # cut, so that means are the same numbers wherever they are joined
+    moments = cut(gene_moments(counts, n_spots))
+    by_mean = moments.where("sd > 0 and mean > 0").groupBy("mean").agg(F.count("*").alias("n"), F.avg(2 * F.log10("sd")).alias("y"))
+    points = by_mean.toPandas().sort_values("mean")
+    x, at = np.unique(np.log10(points["mean"].to_numpy(float)), return_inverse=True)
+    many = np.bincount(at, points["n"], len(x))
+    shared = spark.sparkContext.broadcast((x, many, np.bincount(at, points["n"] * points["y"], len(x)) / many))
+
+    def fit(batches):
+        for pdf in batches:
+            got = local_fits(np.log10(pdf["mean"].to_numpy(float)), *shared.value, span)
+            yield pd.DataFrame({"mean": pdf["mean"], "expected": np.sqrt(10**got)})
+
+    places = by_mean.select("mean").repartition(1 + len(points) // 512, "mean")
+    fitted = moments.join(places.mapInPandas(fit, "mean double, expected double"), "mean", "left").select("gene", "mean", F.coalesce("expected", F.lit(0.0)).alias("expected"))
     top = F.least(F.col("value").cast("double"), F.col("mean") + F.col("expected") * n**0.5)
     sums = counts.join(fitted, "gene").groupBy("gene").agg(F.first("mean").alias("m"), F.first("expected").alias("e"), F.sum(top).alias("a"), F.sum(top * top).alias("b"))
     score = F.when(F.col("e") > 0, (n * F.col("m") * F.col("m") + F.col("b") - 2 * F.col("m") * F.col("a")) / ((n - 1) * F.col("e") * F.col("e"))).otherwise(0.0)

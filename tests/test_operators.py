@@ -333,6 +333,22 @@ def test_variable_genes_by_counts(spark):
     assert expression.loess(t, 1 + 2 * t - 3 * t * t) == pytest.approx(1 + 2 * t - 3 * t * t)
 
 
+def test_local_fits_are_made_once_a_place(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.log10(rng.integers(1, 60, 3000) ** 2)
+    y = x - 0.2 * x * x + 0.1 * rng.normal(size=3000)
+    made, solve = [], np.linalg.lstsq
+    monkeypatch.setattr(np.linalg, "lstsq", lambda a, *o, **k: made.append(len(a)) or solve(a, *o, **k))
+    got = expression.loess(x, y)
+    assert len(made) == len(set(x)) and max(made) <= len(set(x))
+    for i in range(0, 3000, 100):  # of points one by one
+        d = np.abs(x - x[i])
+        u = (x - x[i]) / np.sort(d)[899]
+        w = np.maximum(0, 1 - np.abs(u) ** 3) ** 1.5
+        assert got[i] == pytest.approx(solve(np.stack([w, w * u, w * u * u], 1), w * y, rcond=None)[0][0])
+    assert expression.loess(np.array([1.0, 1, 1, 1, 2]), np.array([1.0, 2, 3, 6, 9])) == pytest.approx([3, 3, 3, 3, 9])
+
+
 def test_annotation_chunks_against_rows(spark):
     rng = np.random.default_rng(8)
     w = rng.random((50, 6)) * (rng.random((50, 6)) < 0.5)
