@@ -109,6 +109,15 @@ def test_counts_of_contexts_are_those_of_all_runs(spark):
         assert sum(few.p(x, chr(i)) for i in range(256)) == pytest.approx(1)
 
 
+def test_runs_beyond_the_bound_count_too(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(8))
+    urls = [f"http://{word()}.com/{word()}" for _ in range(80)] + [f"http://{word()}.net/es/{word()}" for _ in range(80)] + [f"http://{word()}.org/{word()}" for _ in range(40)]
+    rows = spark.createDataFrame([*enumerate(urls), (500, None), (501, ""), (None, urls[0]), (0, urls[0]), (502, "http://É.com/" + "x" * 3000)], "page_id long, url string").repartition(3)
+    of = lambda n: sorted(map(repr, url_filter.filter_urls(rows, max_grams=n).collect()))
+    assert of(10) == of(200_000)
+
+
 def test_odd_urls(spark):
     rows = [(None, "http://a.com/x", 1), (1, "", 2), (1, "", 2), (2, "http://a.com/" + "x" * 200_000, 3), (3, "http://a.com/" + "x" * 200_000, 3), (4, "http://casino.net/é", 4)]
     got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host int")).collect()
