@@ -224,39 +224,41 @@ class Gru:
     def loss_of(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, back: np.ndarray | None = None) -> np.ndarray:
         """Natural log-probabilities of outputs y at states h; adds gradients of their negative sum if asked."""
         p, cls = self.p, self.classes(y)
-        at = np.arange(len(y))
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # rows of a class side by side
+        h, y, cls, at = h[order], y[order], cls[order], np.arange(len(y))
         z = h @ p["c"] + p["d"]
         z -= z.max(1, keepdims=True)
         own = z[at, cls]
         np.exp(z, out=z)
         total = z.sum(1)
-        out = own - np.log(total)
+        got = own - np.log(total)
         if grads is not None:
             z /= total[:, None]
             z[at, cls] -= 1
             grads["c"] += h.T @ z
             grads["d"] += z.sum(0)
-            back += z @ p["c"].T
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.k + 1))
-        for k in range(self.k):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if not len(rows):
-                continue
+            to_h = z @ p["c"].T
+        cuts = np.searchsorted(cls, np.arange(self.k + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            rows = slice(cuts[k], cuts[k + 1])
             hk, slot = h[rows], y[rows] - k * self.width
             z = hk @ p["o"][k] + p["q"][k]
             z -= z.max(1, keepdims=True)
-            at = np.arange(len(rows))
+            at = np.arange(len(slot))
             own = z[at, slot]
             np.exp(z, out=z)
             total = z.sum(1)
-            out[rows] += own - np.log(total)
+            got[rows] += own - np.log(total)
             if grads is not None:
                 z /= total[:, None]
                 z[at, slot] -= 1
                 grads["o"][k] += hk.T @ z
                 grads["q"][k] += z.sum(0)
-                back[rows] += z @ p["o"][k].T
+                to_h[rows] += z @ p["o"][k].T
+        if grads is not None:
+            back[order] += to_h
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def gradients(self, xs: np.ndarray, ys: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -264,37 +266,57 @@ class Gru:
         through all its steps, and the states after it."""
         p, (t_max, lanes), H = self.p, xs.shape, self.p["u"].shape[0]
         kind = p["u"].dtype
-        e = p["e"][xs.ravel()]
-        a = (e @ p["x"] + p["b"]).reshape(t_max, lanes, 3 * H)
+        a = np.take(p["e"] @ p["x"] + p["b"], xs, axis=0)
         hs = np.empty((t_max + 1, lanes, H), kind)
         rz, ns, gn = np.empty((t_max, lanes, 2 * H), kind), np.empty((t_max, lanes, H), kind), np.empty((t_max, lanes, H), kind)
         hs[0] = h
+        g = np.empty((lanes, 3 * H), kind)
         for t in range(t_max):
-            g = hs[t] @ p["u"]
-            rz[t] = _sigmoid(a[t, :, : 2 * H] + g[:, : 2 * H])
+            np.matmul(hs[t], p["u"], out=g)
+            both, new = rz[t], ns[t]
+            np.add(a[t, :, : 2 * H], g[:, : 2 * H], out=both)
+            both *= 0.5
+            np.tanh(both, out=both)
+            both *= 0.5
+            both += 0.5
             gn[t] = g[:, 2 * H :]
-            ns[t] = np.tanh(a[t, :, 2 * H :] + rz[t, :, :H] * gn[t])
-            hs[t + 1] = ns[t] + rz[t, :, H:] * (hs[t] - ns[t])
+            np.multiply(both[:, :H], gn[t], out=new)
+            new += a[t, :, 2 * H :]
+            np.tanh(new, out=new)
+            np.subtract(hs[t], new, out=hs[t + 1])
+            hs[t + 1] *= both[:, H:]
+            hs[t + 1] += new
         grads = {k: np.zeros_like(w) for k, w in p.items()}
         back = np.zeros((t_max * lanes, H), kind)
         self.loss_of(hs[1:].reshape(-1, H), ys.ravel(), grads, back)
         back = back.reshape(t_max, lanes, H)
-        da, dg = np.empty_like(a), np.empty_like(a)
-        d = np.zeros((lanes, H), kind)
+        # by state: of the new value, of its share of the old one, of what it sees of the old one
+        r, z = rz[:, :, :H], rz[:, :, H:]
+        to_n = (1 - z) * (1 - ns * ns)
+        to_z = (hs[:-1] - ns) * z * (1 - z)
+        to_r = gn * r * (1 - r)
+        da, dg = a, np.empty_like(a)
+        d, ut = np.zeros((lanes, H), kind), np.ascontiguousarray(p["u"].T)
         for t in range(t_max - 1, -1, -1):
-            d = d + back[t]
-            r, z, nn = rz[t, :, :H], rz[t, :, H:], ns[t]
-            dn = d * (1 - z) * (1 - nn * nn)
-            dz = d * (hs[t] - nn) * z * (1 - z)
-            dr = dn * gn[t] * r * (1 - r)
-            da[t] = np.hstack([dr, dz, dn])
-            dg[t] = np.hstack([dr, dz, dn * r])
-            d = d * z + dg[t] @ p["u"].T
+            d += back[t]
+            own = dg[t]
+            dn = d * to_n[t]
+            np.multiply(dn, to_r[t], out=own[:, :H])
+            np.multiply(d, to_z[t], out=own[:, H : 2 * H])
+            np.multiply(dn, r[t], out=own[:, 2 * H :])
+            da[t, :, 2 * H :] = dn
+            d *= z[t]
+            d += own @ ut
+        da[:, :, : 2 * H] = dg[:, :, : 2 * H]
         grads["u"] += hs[:-1].reshape(-1, H).T @ dg.reshape(-1, 3 * H)
-        da = da.reshape(-1, 3 * H)
-        grads["x"] += e.T @ da
-        grads["b"] += da.sum(0)
-        np.add.at(grads["e"], xs.ravel(), da @ p["x"].T)
+        # by input, each of them once
+        order = np.argsort(xs.ravel().astype(np.int16 if len(p["e"]) < 1 << 15 else np.int64), kind="stable")
+        inputs = xs.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
+        sums, inputs = np.add.reduceat(da.reshape(-1, 3 * H)[order], first, 0), inputs[first]
+        grads["x"] += p["e"][inputs].T @ sums
+        grads["b"] += sums.sum(0)
+        grads["e"][inputs] += sums @ p["x"].T
         return grads, hs[-1].copy()
 
     def fit(self, stream: np.ndarray, lanes: int = 64, window: int = 24, steps: int = 1500, rate: float = 0.01) -> None:
@@ -313,18 +335,22 @@ class Gru:
             at += window
 
     def passages(self, stream: np.ndarray, adam: Adam, window: int = 24, many: int = 8, lanes: int = 64, rate: float = 0.002) -> int:
-        """One pass over a stream cut into passages of ``many`` windows, ``lanes`` of them side by side; the state
-        goes on through a passage.  What does not fill a passage is left to the next stream.  Tokens learned from."""
-        size = window * many
-        n = (len(stream) - 1) // size
-        for i in range(0, n, lanes):
-            j = min(n, i + lanes)
-            x, y = (stream[k + i * size : k + j * size].reshape(j - i, size).T for k in (0, 1))
-            h = np.zeros((j - i, self.p["u"].shape[0]), np.float32)
-            for at in range(0, size, window):
-                grads, h = self.gradients(x[at : at + window], y[at : at + window], h)
-                adam.step(grads, window * (j - i), rate * min(1, (adam.n + 1) / 20))
-        return n * size
+        """One pass over all of a stream, cut into passages of ``many`` windows, up to ``lanes`` of them side by side;
+        the state goes on through a passage.  What does not fill the last one is learned from as its end, with tokens
+        before it once more; a stream shorter than a passage is one by itself.  How many tokens the stream has."""
+        n = len(stream) - 1
+        if n < 1:
+            return 0
+        size = min(n, window * many)
+        starts = np.append(np.arange(0, n - size, size), n - size)
+        for own in np.array_split(starts, -(-len(starts) // lanes)):
+            at = own[None, :] + np.arange(size)[:, None]
+            x, y = stream[at], stream[at + 1]
+            h = np.zeros((len(own), self.p["u"].shape[0]), np.float32)
+            for k in range(0, size, window):
+                grads, h = self.gradients(x[k : k + window], y[k : k + window], h)
+                adam.step(grads, x[k : k + window].size, rate * min(1, (adam.n + 1) / 20))
+        return n
 
     def scores(self, ids: np.ndarray, at: np.ndarray, end: int, room: int = 1 << 16) -> np.ndarray:
         """Log10-probability of each text ids[at[d]:at[d + 1]] and its end, the state carried through all of it.
@@ -387,21 +413,44 @@ class Gru:
 # --- learning from all training texts -----------------------------------------------------------------------------
 
 
-def _token_ids(low, starts, ends, h_all, ids_all, n_frequent, weights):
+class Places:
+    """Where hashes are among ascending ones, found by their leading bits."""
+
+    def __init__(self, h: np.ndarray):
+        bits = min(24, len(h).bit_length() + 1)
+        self.h, self.shift = h, np.uint64(64 - bits)
+        self.first = np.append(np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(h)).astype(np.int32)
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each x, and whether it is there at all."""
+        if not len(self.h):
+            return np.zeros(len(x), np.int32), np.zeros(len(x), bool)
+        lead = (x >> self.shift).astype(np.int64)
+        k, end = self.first[lead], self.first[lead + 1]
+        hit = (k < end) & (self.h[np.minimum(k, len(self.h) - 1)] == x)
+        rest = np.flatnonzero(~hit & (k + 1 < end))
+        while len(rest):
+            k[rest] += 1
+            hit[rest] = self.h[k[rest]] == x[rest]
+            rest = rest[~hit[rest] & (k[rest] + 1 < end[rest])]
+        return k, hit
+
+
+def _token_ids(low, starts, ends, places, ids_all, n_frequent, weights):
     """What the network reads of each word: its number among the frequent ones, else its spelling's class."""
     x = word_hashes(low, starts, ends)
-    k = np.minimum(np.searchsorted(h_all, x), max(0, len(h_all) - 1))
-    hit = h_all[k] == x if len(h_all) else np.zeros(len(x), bool)
-    ids = np.where(hit, ids_all[k] if len(h_all) else 0, 0)
+    k, hit = places(x)
+    ids = np.zeros(len(x), np.int64)
+    ids[hit] = ids_all[k[hit]]
     miss = np.flatnonzero(~hit)
     ids[miss] = n_frequent + spelling_class(low, starts[miss], ends[miss], weights)
     return x, k, hit, ids
 
 
 def _learn(shared, every: int, most: int = 4 << 20, groups: int = 64):
-    """Each task goes on from the common weights over its own texts, and gives its weights with the tokens learned
-    from.  ``every``: of the tokens of each few megabytes, whole texts in order, one run of an ``every``-th of them is
-    learned from, at a place that moves on from one few megabytes to the next."""
+    """Each task goes on from the common weights over all tokens of its own texts, and gives its weights with the
+    tokens learned from.  Only with ``every`` over 1: of the tokens of each few megabytes, whole texts in order, one
+    run of an ``every``-th of them is learned from, at a place that moves on from one few megabytes to the next."""
 
     def run(batches):
         s = shared.value
@@ -412,7 +461,8 @@ def _learn(shared, every: int, most: int = 4 << 20, groups: int = 64):
             nonlocal learned, turn
             stream = np.concatenate([end, *held]).astype(np.int32)
             run = -(-len(stream) // every)
-            learned += net.passages(stream[(turn % every) * run :][: run + 1], adam)
+            # few side by side at first, so that a small task takes steps enough
+            learned += net.passages(stream[(turn % every) * run :][: run + 1], adam, lanes=256 if adam.n >= 256 else 64)
             turn += 1
             held.clear()
 
@@ -423,7 +473,7 @@ def _learn(shared, every: int, most: int = 4 << 20, groups: int = 64):
                 starts, ends, doc, low = words(data, at, i, j)
                 if not seed and len(starts):
                     turn = seed = 1 + int(word_hashes(low, starts[:1], ends[:1])[0] % np.uint64(97))
-                _, _, _, ids = _token_ids(low, starts, ends, s.h, s.ids, net.f, s.weights)
+                _, _, _, ids = _token_ids(low, starts, ends, s.places, s.ids, net.f, s.weights)
                 held.append(np.insert(ids, np.searchsorted(doc, np.arange(1, j - i + 1)), s.end))
                 size += int(at[j] - at[i])
                 if size >= most:
@@ -458,7 +508,7 @@ def learn_everywhere(train: DataFrame, shared, net: Gru, every: int, groups: int
 
     Tasks' weights are summed up by group, at most ``groups`` rows of one network's size come to the driver.
     """
-    found = train.select("text").mapInArrow(lean(_learn(shared, every, groups=groups)), "g int, n long, w binary")
+    found = train.select("text").mapInArrow(lean(_learn(shared, every, groups=groups), 1 << 24), "g int, n long, w binary")
     found = found.repartition(groups, "g").sortWithinPartitions("g", "n", "w").mapInArrow(_mean, "n long, w binary").collect()
     total = sum(r["n"] for r in found)
     if total:
@@ -477,12 +527,14 @@ def learn_everywhere(train: DataFrame, shared, net: Gru, every: int, groups: int
 class Scorer:
     """What tasks need: the head of the counts, the network, the sums."""
 
-    def __init__(self, net, weights, h, c, ids, rare, n, v, rare_n, rare_v, end):
-        self.net, self.weights, self.h, self.c, self.ids, self.rare = net, weights, h, c, ids, rare
+    def __init__(self, net, weights, places, c, ids, rare, n, v, rare_n, rare_v, end):
+        self.net, self.weights, self.places, self.h, self.c, self.ids, self.rare = net, weights, places, places.h, c, ids, rare
         self.n, self.v, self.rare_n, self.rare_v, self.end = n, v, rare_n, rare_v, end
 
 
-def _score(shared, most: int = 6 << 20):
+def _score(shared, most: int = 24 << 20):
+    """Texts of about ``most`` bytes go side by side: the longest of them takes as many steps alone or beside others."""
+
     def run(batches):
         s = shared.value
         f = s.net.f
@@ -498,7 +550,7 @@ def _score(shared, most: int = 6 << 20):
                 keys.append(key)
                 for i, j in chunks(offsets):
                     starts, ends, doc, low = words(data, offsets, i, j)
-                    h, k, hit, ids = _token_ids(low, starts, ends, s.h, s.ids, f, s.weights)
+                    h, k, hit, ids = _token_ids(low, starts, ends, s.places, s.ids, f, s.weights)
                     miss = np.flatnonzero(~hit)
                     cls = ids[miss] - f
                     ids_all.append(ids.astype(np.int32))
@@ -532,15 +584,15 @@ def _score(shared, most: int = 6 << 20):
     return run
 
 
-def lm_scores(docs: DataFrame, train: DataFrame, *, n_frequent: int = 2048, n_rare: int = 6, hidden: int = 16, head: int = 1 << 18, sample: int = 1500, sample_bytes: int = 1 << 16, steps: int = 1500, every: int = 8, scratch: Scratch | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, train: DataFrame, *, n_frequent: int = 2048, n_rare: int = 6, hidden: int = 16, head: int = 1 << 18, sample: int = 1500, sample_bytes: int = 1 << 16, steps: int = 1500, every: int = 1, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
     Tokens: words without ASCII white space, A-Z lower-cased, and one end.  base_score: the log10 probability by
     add-one counts over ``train`` (doc_id, text); score: the model's.  Counts and vocabulary come from all of
     ``train``.  The weights start from ``sample`` of its texts (the least hashes of doc_id; of each a passage of at
     most ``sample_bytes`` bytes, at a place that the hash says; spelling classes come from the same) and are then
-    learned on in every training task over its own texts, very long ones included, and averaged: one token in
-    ``every`` is learned from (1: all), whatever the size of the corpus.  A null or empty text is its end alone; a
+    learned on in every training task over its own texts, very long ones included, and averaged: every token is
+    learned from, or one in ``every`` where the caller says so.  A null or empty text is its end alone; a
     very long one is scored whole, the state carried.  Without training texts all words are new to both.  Repeated
     rows give repeated rows and are learned from as often; a null doc_id stays; an empty table gives an empty one.
     """
@@ -586,10 +638,10 @@ def lm_scores(docs: DataFrame, train: DataFrame, *, n_frequent: int = 2048, n_ra
     in_head = np.searchsorted(h, END)
     end = int(ids[in_head]) if in_head < len(h) and h[in_head] == END else len(frequent)
     net = Gru(len(frequent), n_rare, hidden, 64, np.concatenate([c[frequent], rare_n]).astype(float))
-    stream = [np.array([end], np.int32)]
+    stream, places = [np.array([end], np.int32)], Places(h)
     for i, j in chunks(at):
         starts, ends, doc, low = words(data, at, i, j)
-        own = _token_ids(low, starts, ends, h, ids, len(frequent), weights)[3]
+        own = _token_ids(low, starts, ends, places, ids, len(frequent), weights)[3]
         bounds = np.searchsorted(doc, np.arange(j - i + 1))
         for d in range(j - i):
             stream += [own[bounds[d] : bounds[d + 1]], [end]]
@@ -597,12 +649,12 @@ def lm_scores(docs: DataFrame, train: DataFrame, *, n_frequent: int = 2048, n_ra
         net.fit(np.concatenate(stream).astype(np.int32), steps=steps)
     del top, stream, texts, data
     give_back()
-    known = Scorer(net, weights.astype(np.float32), h, c, ids, rare, n, v, rare_n, rare_v, end)
+    known = Scorer(net, weights.astype(np.float32), places, c, ids, rare, n, v, rare_n, rare_v, end)
     if len(h):
         learn_everywhere(train, started := spark.sparkContext.broadcast(known), net, every)
         started.unpersist()
     scorer = spark.sparkContext.broadcast(known)
-    local = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row")).alias("key"), "text").mapInArrow(lean(_score(scorer)), "key struct<doc_id: long, row: long>, n_tokens long, n_known long, base double, score double, h array<long>, r array<int>")
+    local = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row")).alias("key"), "text").mapInArrow(lean(_score(scorer), 1 << 24), "key struct<doc_id: long, row: long>, n_tokens long, n_known long, base double, score double, h array<long>, r array<int>")
     local = scratch.table(local, "local")
     tail = local.select("key.row", F.explode(F.arrays_zip("h", "r")).alias("t")).select("row", "t.h", "t.r")
     known = counts.mapInArrow(_words(least, False), "h long, c long, r int").select("h", "c")

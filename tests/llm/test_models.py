@@ -199,6 +199,30 @@ def test_learns_in_every_task(spark):
     assert all_ > 0.9 * few > 3 * all_
 
 
+def test_every_token_is_learned_from(spark, monkeypatch):
+    seen, step = [], G.Gru.gradients
+    monkeypatch.setattr(G.Gru, "gradients", lambda self, xs, ys, h: seen.extend(zip(xs.ravel().tolist(), ys.ravel().tolist(), strict=True)) or step(self, xs, ys, h))
+    for n in (1, 2, 30, 193, 1000, 2000):
+        seen.clear()
+        stream = np.random.default_rng(n).permutation(2000)[:n]
+        net = G.Gru(2000, 2, 4, 64, np.ones(2002))
+        assert net.passages(stream, G.Adam(net.p), lanes=3) == n - 1
+        assert set(seen) == set(zip(stream[:-1].tolist(), stream[1:].tolist(), strict=True)) and len(seen) < n + 192
+    learned, go_on = [], G.learn_everywhere
+    monkeypatch.setattr(G, "learn_everywhere", lambda *a, **k: learned.append(go_on(*a, **k)))
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3)
+    assert learned == [G.lm_scores(docs, docs, n_frequent=10, n_rare=3, sample=5, steps=5).first()["train_tokens"]]
+
+
+def test_places_are_found_by_leading_bits():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 50, 5000):
+        h = np.unique(np.concatenate([rng.integers(0, 2**64, n, np.uint64), rng.integers(0, 40, n, np.uint64)]))
+        x = np.concatenate([h, rng.integers(0, 2**64, 50, np.uint64), rng.integers(0, 50, 50, np.uint64), [np.uint64(2**64 - 1)]]).astype(np.uint64)
+        k, hit = G.Places(h)(x)
+        assert (hit == np.isin(x, h)).all() and (h[k[hit]] == x[hit]).all()
+
+
 def test_state_goes_through_long_texts():
     net = G.Gru(20, 2, 8, 6, np.ones(22))
     rng = np.random.default_rng(2)
