@@ -61,8 +61,8 @@ def spelling_class(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight
     start = np.minimum(cut[:-1], stop)
     best, out = np.full(len(starts), -np.inf), np.zeros(len(starts), np.int64)
     run = np.zeros(len(h) + 1)
-    for k in range(weights.shape[1]):
-        np.cumsum(weights[h, k], out=run[1:])
+    for k, of_class in enumerate(np.ascontiguousarray(weights.T)):
+        np.cumsum(of_class[h], out=run[1:])
         z = np.where(stop > start, run[stop] - run[start], 0.0)
         out[z > best + 1e-9] = k
         best = np.maximum(best, z)
@@ -226,35 +226,38 @@ class Gru:
         p, cls = self.p, self.classes(y)
         order = np.argsort(cls.astype(np.int16), kind="stable")  # rows of a class side by side
         h, y, cls, at = h[order], y[order], cls[order], np.arange(len(y))
-        z = h @ p["c"] + p["d"]
-        z -= z.max(1, keepdims=True)
-        own = z[at, cls]
+        # an output a row: sums over outputs then run along the texts
+        z = p["c"].T @ h.T
+        z += p["d"][:, None]
+        z -= z.max(0)
+        got = z[cls, at]
         np.exp(z, out=z)
-        total = z.sum(1)
-        got = own - np.log(total)
+        total = z.sum(0)
+        got -= np.log(total)
         if grads is not None:
-            z /= total[:, None]
-            z[at, cls] -= 1
-            grads["c"] += h.T @ z
-            grads["d"] += z.sum(0)
-            to_h = z @ p["c"].T
+            z /= total
+            z[cls, at] -= 1
+            grads["c"] += (z @ h).T
+            grads["d"] += z.sum(1)
+            to_h = z.T @ p["c"].T
         cuts = np.searchsorted(cls, np.arange(self.k + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             rows = slice(cuts[k], cuts[k + 1])
             hk, slot = h[rows], y[rows] - k * self.width
-            z = hk @ p["o"][k] + p["q"][k]
-            z -= z.max(1, keepdims=True)
+            z = p["o"][k].T @ hk.T
+            z += p["q"][k][:, None]
+            z -= z.max(0)
             at = np.arange(len(slot))
-            own = z[at, slot]
+            got[rows] += z[slot, at]
             np.exp(z, out=z)
-            total = z.sum(1)
-            got[rows] += own - np.log(total)
+            total = z.sum(0)
+            got[rows] -= np.log(total)
             if grads is not None:
-                z /= total[:, None]
-                z[at, slot] -= 1
-                grads["o"][k] += hk.T @ z
-                grads["q"][k] += z.sum(0)
-                to_h[rows] += z @ p["o"][k].T
+                z /= total
+                z[slot, at] -= 1
+                grads["o"][k] += (z @ hk).T
+                grads["q"][k] += z.sum(1)
+                to_h[rows] += z.T @ p["o"][k].T
         if grads is not None:
             back[order] += to_h
         out = np.empty_like(got)
@@ -292,9 +295,14 @@ class Gru:
         back = back.reshape(t_max, lanes, H)
         # by state: of the new value, of its share of the old one, of what it sees of the old one
         r, z = rz[:, :, :H], rz[:, :, H:]
-        to_n = (1 - z) * (1 - ns * ns)
-        to_z = (hs[:-1] - ns) * z * (1 - z)
-        to_r = gn * r * (1 - r)
+        rest = 1 - rz
+        to_n, to_z, to_r = ns * ns, hs[:-1] - ns, gn
+        np.subtract(1, to_n, out=to_n)
+        to_n *= rest[:, :, H:]
+        to_z *= z
+        to_z *= rest[:, :, H:]
+        to_r *= r
+        to_r *= rest[:, :, :H]
         da, dg = a, np.empty_like(a)
         d, ut = np.zeros((lanes, H), kind), np.ascontiguousarray(p["u"].T)
         for t in range(t_max - 1, -1, -1):
@@ -309,14 +317,14 @@ class Gru:
             d += own @ ut
         da[:, :, : 2 * H] = dg[:, :, : 2 * H]
         grads["u"] += hs[:-1].reshape(-1, H).T @ dg.reshape(-1, 3 * H)
+        da, seen = da.reshape(-1, 3 * H), xs.ravel()
+        grads["x"] += p["e"][seen].T @ da
+        grads["b"] += da.sum(0)
         # by input, each of them once
-        order = np.argsort(xs.ravel().astype(np.int16 if len(p["e"]) < 1 << 15 else np.int64), kind="stable")
-        inputs = xs.ravel()[order]
+        order = np.argsort(seen.astype(np.int16 if len(p["e"]) < 1 << 15 else np.int64), kind="stable")
+        inputs = seen[order]
         first = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
-        sums, inputs = np.add.reduceat(da.reshape(-1, 3 * H)[order], first, 0), inputs[first]
-        grads["x"] += p["e"][inputs].T @ sums
-        grads["b"] += sums.sum(0)
-        grads["e"][inputs] += sums @ p["x"].T
+        grads["e"][inputs[first]] += np.add.reduceat((da @ p["x"].T)[order], first, 0)
         return grads, hs[-1].copy()
 
     def fit(self, stream: np.ndarray, lanes: int = 64, window: int = 24, steps: int = 1500, rate: float = 0.01) -> None:
@@ -352,7 +360,7 @@ class Gru:
                 adam.step(grads, x[k : k + window].size, rate * min(1, (adam.n + 1) / 20))
         return n
 
-    def scores(self, ids: np.ndarray, at: np.ndarray, end: int, room: int = 1 << 16) -> np.ndarray:
+    def scores(self, ids: np.ndarray, at: np.ndarray, end: int, room: int = 1 << 14) -> np.ndarray:
         """Log10-probability of each text ids[at[d]:at[d + 1]] and its end, the state carried through all of it.
 
         Texts go side by side, longest first, one token a step; outputs are taken whenever ``room`` states are full.
@@ -462,7 +470,7 @@ def _learn(shared, every: int, most: int = 4 << 20, groups: int = 64):
             stream = np.concatenate([end, *held]).astype(np.int32)
             run = -(-len(stream) // every)
             # few side by side at first, so that a small task takes steps enough
-            learned += net.passages(stream[(turn % every) * run :][: run + 1], adam, lanes=256 if adam.n >= 256 else 64)
+            learned += net.passages(stream[(turn % every) * run :][: run + 1], adam, lanes=512 if adam.n >= 150 else min(256, max(64, run // 4800)))
             turn += 1
             held.clear()
 
@@ -612,7 +620,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, *, n_frequent: int = 2048, n_ra
     n_rare = weights.shape[1]
     shared_weights = spark.sparkContext.broadcast(weights.astype(np.float32))
     bits = min(12, max(5, int(train.rdd.getNumPartitions()).bit_length() + 1))
-    parts = train.select("text").mapInArrow(lean(_count(shared_weights, bits)), "part int, h binary, c binary, r binary")
+    parts = train.select("text").mapInArrow(lean(_count(shared_weights, bits), 1 << 24), "part int, h binary, c binary, r binary")
     counts = parts.repartition(1 << max(3, bits - 1), "part").sortWithinPartitions("part").mapInArrow(lean(_add_up), "h binary, c binary, r binary")
     counts = scratch.table(counts, "counts")
     sums = {r["k"]: r["n"] for r in counts.mapInArrow(_sums(n_rare), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
